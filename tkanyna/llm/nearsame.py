@@ -31,8 +31,8 @@ from tkanyna.session import written
 MIN_WORDS = 8
 TENTHS = 7  # of all distinct words, that many tenths occur in both
 SLOTS = 1 << 18  # counts of words, whatever the size of the corpus
-RARE = 2000  # a word in more classes than this serves only in pairs of words
-BLOCK = 4000  # classes of one key that one task compares
+RARE = 4000  # a word in more classes than this serves only in pairs of words
+BLOCK = 10_000  # classes of one key that one task compares
 LEAF = 48
 
 
@@ -54,8 +54,8 @@ def word_counts(spark: SparkSession, sets: DataFrame, column: str) -> Broadcast:
         slot: dict[str, int] = {}
         for batch in batches:
             found = []
-            for ws in batch[column]:
-                for w in ws:
+            for ws in batch[column].tolist():
+                for w in ws.split(" "):
                     if (s := slot.get(w)) is None:
                         if len(slot) > 500_000:
                             slot.clear()
@@ -98,7 +98,7 @@ def bitmap(codes: np.ndarray) -> tuple[int, int]:
 
 
 def keyed(classes: DataFrame, counts: Broadcast, column: str, carry: list[str] = []) -> DataFrame:  # noqa: B006
-    """A row for each key of each class: key, passage (its words), cls, bits, n, and the columns carried."""
+    """A row for each key of each class: key, passage (its words), id, bits, n, and the columns carried."""
     fields = [classes.schema[c] for c in carry]
     kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in fields)
 
@@ -107,7 +107,7 @@ def keyed(classes: DataFrame, counts: Broadcast, column: str, carry: list[str] =
         for batch in batches:
             out: list[tuple] = []
             for row in batch.itertuples(index=False):
-                ws = getattr(row, column)
+                ws = getattr(row, column).split(" ")
                 cs = []
                 for w in ws:
                     if (c := known.get(w)) is None:
@@ -120,13 +120,13 @@ def keyed(classes: DataFrame, counts: Broadcast, column: str, carry: list[str] =
                 rest = tuple(getattr(row, c) for c in carry)
                 for a, b in keys_of(codes, table):
                     passage = ws[a] if b < 0 else f"{ws[a]} {ws[b]}"
-                    out.append((code(passage), passage, row.cls, low, high, len(ws), *rest))
-            frame = pd.DataFrame(out, columns=["key", "passage", "cls", "low", "high", "n", *carry])
+                    out.append((code(passage), passage, row.id, low, high, len(ws), *rest))
+            frame = pd.DataFrame(out, columns=["key", "passage", "id", "low", "high", "n", *carry])
             for c in ("key", "low", "high"):
                 frame[c] = frame[c].astype("uint64").to_numpy().astype(np.int64)
             yield frame
 
-    return classes.select("cls", column, *carry).mapInPandas(make, f"key bigint, passage string, cls binary, low bigint, high bigint, n int{kinds}")
+    return classes.select("id", column, *carry).mapInPandas(make, f"key bigint, passage string, id bigint, low bigint, high bigint, n int{kinds}")
 
 
 def cells(keys: DataFrame, left: Column | None = None) -> tuple[DataFrame, DataFrame]:
@@ -136,7 +136,7 @@ def cells(keys: DataFrame, left: Column | None = None) -> tuple[DataFrame, DataF
     """
     counted = keys.withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("many > 1")
     blocks = F.ceil(F.col("many") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("cls"), blocks).cast("int")
+    block = F.pmod(F.xxhash64("id"), blocks).cast("int")
     every = F.sequence(F.lit(0), blocks - 1)
     if left is None:
         cell = F.transform(every, lambda j: F.struct(F.least(block, j).alias("i"), F.greatest(block, j).alias("j")))
@@ -219,7 +219,7 @@ def _tree_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def search(frame: pd.DataFrame) -> pd.DataFrame:
         key = frame["key"].to_numpy()
-        cls = frame["cls"].to_numpy()
+        ids = frame["id"].to_numpy(np.int64)
         bits = np.stack([frame["low"].to_numpy(), frame["high"].to_numpy()], axis=1).astype(np.uint64)
         n = frame["n"].to_numpy(np.int64)
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -233,9 +233,10 @@ def _tree_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             others.append(b + s)
         if not ones:
             return pd.DataFrame({"a": [], "b": []})
-        a, b = cls[np.concatenate(ones)], cls[np.concatenate(others)]
-        found = {(x, y) if x < y else (y, x) for x, y in zip(a.tolist(), b.tolist()) if x != y}
-        return pd.DataFrame(list(found), columns=["a", "b"])
+        a, b = ids[np.concatenate(ones)], ids[np.concatenate(others)]
+        found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+        found = found[found[:, 0] < found[:, 1]]
+        return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
 
     kept: list[pd.DataFrame] = []
     for batch in batches:
@@ -251,43 +252,48 @@ def _tree_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def tree_candidates(keys: DataFrame) -> DataFrame:
-    """Distinct candidate pairs (a, b) of classes that share a key and lie within the radius."""
-    keys = keys.select("key", "cls", "low", "high", "n")
-    few, hot = cells(keys)
-    found = few.sortWithinPartitions("key").mapInPandas(_tree_pairs, "a binary, b binary")
-    split = hot.repartition("key").sortWithinPartitions("key").mapInPandas(_tree_pairs, "a binary, b binary")
+    """Distinct candidate pairs (a < b) of classes that share a key and lie within the radius."""
+    few, hot = cells(keys.select("key", "id", "low", "high", "n"))
+    found = few.sortWithinPartitions("key").mapInPandas(_tree_pairs, "a bigint, b bigint")
+    split = hot.repartition("key").sortWithinPartitions("key").mapInPandas(_tree_pairs, "a bigint, b bigint")
     return found.unionByName(split).distinct()
 
 
 def shares_enough(one: str, other: str) -> Column:
-    common = F.size(F.array_intersect(one, other))
-    return common * 10 >= TENTHS * (F.size(one) + F.size(other) - common)
+    """Whether two sets of words, each joined by blanks, are near-same."""
+    a, b = F.split(one, " "), F.split(other, " ")
+    common = F.size(F.array_intersect(a, b))
+    return common * 10 >= TENTHS * (F.size(a) + F.size(b) - common)
 
 
 def near_same_classes(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """Members (key, cls) of every text with enough words, and the near-same pairs (a, b) of different classes."""
+    """Members (row, id) of every text with enough words, and the near-same pairs (a < b) of the ids of different classes.
+
+    The id of a class is the least key of its rows.
+    """
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ws = [word_set(t) for t in batch["text"]]
-            frame = pd.DataFrame({"row": batch["row"], "cls": [class_key(w) if w else None for w in ws], "words": ws})
+            ws = [word_set(t) for t in batch["text"].tolist()]
+            frame = pd.DataFrame({"row": batch["row"], "cls": [class_key(w) if w else None for w in ws], "words": [" ".join(w) for w in ws]})
             yield frame[frame["cls"].notna()]
 
-    rows = written(df.select(F.col(key).alias("row"), F.col(text).alias("text")).filter(F.col("text").isNotNull()).mapInPandas(sets, "row bigint, cls binary, words array<string>"))
-    members = rows.select("row", "cls")
-    classes = written(rows.groupBy("cls").agg(F.first("words").alias("words")))
+    given = df.select(F.col(key).alias("row"), F.col(text).alias("text")).filter("row is not null and text is not null")
+    rows = written(given.mapInPandas(sets, "row bigint, cls binary, words string"))
+    classes = written(rows.groupBy("cls").agg(F.min("row").alias("id"), F.first("words").alias("words")))
     counts = word_counts(df.sparkSession, classes, "words")
     pairs = tree_candidates(keyed(classes, counts, "words"))
-    one = classes.select(F.col("cls").alias("a"), F.col("words").alias("words_a"))
-    other = classes.select(F.col("cls").alias("b"), F.col("words").alias("words_b"))
+    one = classes.select(F.col("id").alias("a"), F.col("words").alias("words_a"))
+    other = classes.select(F.col("id").alias("b"), F.col("words").alias("words_b"))
+    members = rows.select("row", "cls").join(classes.select("cls", "id"), "cls").select("row", "id")
     return members, pairs.join(one, "a").join(other, "b").filter(shares_enough("words_a", "words_b")).select("a", "b")
 
 
 def near_same_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     """Every pair (row_a < row_b) of rows with near-same texts, copies included."""
     members, pairs = near_same_classes(df, key, text)
-    a = members.select(F.col("row").alias("row_a"), F.col("cls").alias("a"))
-    b = members.select(F.col("row").alias("row_b"), F.col("cls").alias("b"))
+    a = members.select(F.col("row").alias("row_a"), F.col("id").alias("a"))
+    b = members.select(F.col("row").alias("row_b"), F.col("id").alias("b"))
     copies = a.join(b, F.col("a") == F.col("b")).filter("row_a < row_b").select("row_a", "row_b")
     edited = pairs.join(a, "a").join(b, "b").select(F.least("row_a", "row_b").alias("row_a"), F.greatest("row_a", "row_b").alias("row_b"))
     return copies.unionByName(edited)
@@ -300,13 +306,11 @@ def near_same_groups(df: DataFrame, key: str, text: str) -> DataFrame:
     """
     members, pairs = near_same_classes(df, key, text)
     pairs = written(pairs)
-    copies = members.groupBy("cls").agg(F.count(F.lit(1)).alias("copies"), F.min("row").alias("first"))
+    copies = members.groupBy("id").agg(F.count(F.lit(1)).alias("copies"))
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    linked = both.join(copies.select(F.col("cls").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("others"))
-    joined = components(pairs)
-    of = copies.join(joined.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    groups = of.groupBy("root").agg(F.min("first").alias("group_id"))
-    classes = of.join(groups, "root").join(linked.withColumnRenamed("a", "cls"), "cls", "left").select("cls", "group_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
-    rows = members.join(classes, "cls").select("row", "group_id", "links")
+    linked = both.join(copies.select(F.col("id").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("others"))
+    classes = copies.join(components(pairs).withColumnRenamed("node", "id"), "id", "left").join(linked.withColumnRenamed("a", "id"), "id", "left")
+    classes = classes.select("id", F.coalesce("root", "id").alias("group_id"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
+    rows = members.join(classes, "id").select("row", "group_id", "links")
     every = df.select(F.col(key).alias("row"))
     return every.join(rows, "row", "left").select(F.col("row").alias(key), F.coalesce("group_id", "row").alias("group_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))

@@ -41,7 +41,7 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             place = passages["place"].to_numpy()
             first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
             length = np.diff(np.r_[first, len(place)])
-            cls, n = passages["cls"].to_numpy(), passages["n"].to_numpy(np.int64)
+            ids, n = passages["id"].to_numpy(np.int64), passages["n"].to_numpy(np.int64)
             bits = np.stack([passages["low"].to_numpy(), passages["high"].to_numpy()], axis=1).astype(np.uint64)
             automaton = ahocorasick.Automaton()
             for k, p in enumerate(place[first].tolist()):
@@ -55,8 +55,8 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         end, hits = np.array(matches, np.int64).T
         of = np.searchsorted(np.cumsum([len(p) + 1 for p in text]), end, "left")  # the row in which a matched interval ends
         t_bits = np.stack([rows["low"].to_numpy(), rows["high"].to_numpy()], axis=1).astype(np.uint64)
-        t_n, t_cls = rows["n"].to_numpy(np.int64), rows["cls"].to_numpy()
-        found: set[tuple[bytes, bytes]] = set()
+        t_n, t_ids = rows["n"].to_numpy(np.int64), rows["id"].to_numpy(np.int64)
+        found = []
         many = length[hits]
         cut = np.flatnonzero(np.diff(np.cumsum(many) // SPAN)) + 1
         for part in np.split(np.arange(len(hits)), cut):
@@ -66,50 +66,54 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             t = np.repeat(of[part], width)
             d = np.bitwise_count(bits[e] ^ t_bits[t]).sum(axis=1, dtype=np.int64)
             keep = d * (10 + TENTHS) <= (10 - TENTHS) * (n[e] + t_n[t])
-            found.update(zip(cls[e[keep]].tolist(), t_cls[t[keep]].tolist()))
-        yield pd.DataFrame([x for x in found if x[0] != x[1]], columns=["a", "b"])
+            found.append(np.unique(np.stack([ids[e[keep]], t_ids[t[keep]]], axis=1), axis=0))
+        pairs = np.concatenate(found)
+        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+        yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
 def cross_split_classes(df: DataFrame, key: str, fields: tuple[str, str], split: str, train: str = "train") -> tuple[DataFrame, DataFrame]:
-    """Members (row, train, cls), and the near-same pairs (a, b) of evaluation and training classes, equal ones included."""
+    """Members (row, train, id), and the near-same pairs (a, b) of evaluation and training classes, equal ones included."""
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            one = [word_set(t) for t in batch["one"]]
-            other = [word_set(t) if w else [] for t, w in zip(batch["other"], one)]
-            frame = pd.DataFrame({"row": batch["row"], "train": batch["train"], "cls": [class_key(a, b) if b else None for a, b in zip(one, other)], "one": one, "other": other})
+            one = [word_set(t) for t in batch["one"].tolist()]
+            other = [word_set(t) if w else [] for t, w in zip(batch["other"].tolist(), one)]
+            cls = [class_key(a, b) if b else None for a, b in zip(one, other)]
+            frame = pd.DataFrame({"row": batch["row"], "train": batch["train"], "cls": cls, "one": [" ".join(w) for w in one], "other": [" ".join(w) for w in other]})
             yield frame[frame["cls"].notna()]
 
-    given = df.select(F.col(key).alias("row"), F.coalesce(F.col(split) == train, F.lit(False)).alias("train"), F.col(fields[0]).alias("one"), F.col(fields[1]).alias("other")).filter("one is not null and other is not null")
-    rows = written(given.mapInPandas(sets, "row bigint, train boolean, cls binary, one array<string>, other array<string>"))
-    classes = written(rows.groupBy("cls").agg(F.first("one").alias("one"), F.first("other").alias("other"), F.bool_or("train").alias("trains"), F.bool_or(~F.col("train")).alias("tests")))
+    given = df.select(F.col(key).alias("row"), F.coalesce(F.col(split) == train, F.lit(False)).alias("train"), F.col(fields[0]).alias("one"), F.col(fields[1]).alias("other"))
+    rows = written(given.filter("row is not null and one is not null and other is not null").mapInPandas(sets, "row bigint, train boolean, cls binary, one string, other string"))
+    classes = written(rows.groupBy("cls").agg(F.min("row").alias("id"), F.first("one").alias("one"), F.first("other").alias("other"), F.bool_or("train").alias("trains"), F.bool_or(~F.col("train")).alias("tests")))
     counts = word_counts(df.sparkSession, classes, "other")
     keys = keyed(classes, counts, "other", ["trains", "tests"])
     sides = keys.withColumn("train", F.explode(F.filter(F.array(F.when(F.col("tests"), F.lit(False)), F.when(F.col("trains"), F.lit(True))), lambda x: x.isNotNull()))).drop("trains", "tests")
     few, hot = cells(sides, ~F.col("train"))
-    few = few.select(F.col("passage").alias("place"), "cls", "low", "high", "n", "train").sortWithinPartitions("train")
-    hot = hot.repartition("key").select(F.concat_ws(" ", "passage", F.col("key").cast("string")).alias("place"), "cls", "low", "high", "n", "train").sortWithinPartitions("train")
-    found = few.mapInPandas(_scan, "a binary, b binary").unionByName(hot.mapInPandas(_scan, "a binary, b binary")).distinct()
-    one = classes.select(F.col("cls").alias("a"), F.col("one").alias("one_a"), F.col("other").alias("other_a"))
-    other = classes.select(F.col("cls").alias("b"), F.col("one").alias("one_b"), F.col("other").alias("other_b"))
+    few = few.select(F.col("passage").alias("place"), "id", "low", "high", "n", "train").sortWithinPartitions("train")
+    hot = hot.repartition("key").select(F.concat_ws(" ", "passage", F.col("key").cast("string")).alias("place"), "id", "low", "high", "n", "train").sortWithinPartitions("train")
+    found = few.mapInPandas(_scan, "a bigint, b bigint").unionByName(hot.mapInPandas(_scan, "a bigint, b bigint")).distinct()
+    one = classes.filter("tests").select(F.col("id").alias("a"), F.col("one").alias("one_a"), F.col("other").alias("other_a"))
+    other = classes.filter("trains").select(F.col("id").alias("b"), F.col("one").alias("one_b"), F.col("other").alias("other_b"))
     edited = found.join(one, "a").join(other, "b").filter(shares_enough("other_a", "other_b") & shares_enough("one_a", "one_b")).select("a", "b")
-    equal = classes.filter("trains and tests").select(F.col("cls").alias("a"), F.col("cls").alias("b"))
-    return rows.select("row", "train", "cls"), edited.unionByName(equal)
+    equal = classes.filter("trains and tests").select(F.col("id").alias("a"), F.col("id").alias("b"))
+    members = rows.select("row", "train", "cls").join(classes.select("cls", "id"), "cls").select("row", "train", "id")
+    return members, edited.unionByName(equal)
 
 
 def cross_split_pairs(df: DataFrame, key: str, fields: tuple[str, str], split: str, train: str = "train") -> DataFrame:
     """Every pair (test_row, train_row) of an evaluation and a training row whose two fields are both near-same."""
     members, pairs = cross_split_classes(df, key, fields, split, train)
-    tests = members.filter(~F.col("train")).select(F.col("row").alias("test_row"), F.col("cls").alias("a"))
-    trains = members.filter("train").select(F.col("row").alias("train_row"), F.col("cls").alias("b"))
+    tests = members.filter(~F.col("train")).select(F.col("row").alias("test_row"), F.col("id").alias("a"))
+    trains = members.filter("train").select(F.col("row").alias("train_row"), F.col("id").alias("b"))
     return pairs.join(tests, "a").join(trains, "b").select("test_row", "train_row")
 
 
 def overlap_report(df: DataFrame, key: str, fields: tuple[str, str], split: str, origin: str) -> DataFrame:
     """Per evaluation split and origin: its rows, those that overlap with training, and the training rows concerned."""
     members, pairs = cross_split_classes(df, key, fields, split)
-    trained = members.filter("train").groupBy("cls").agg(F.count(F.lit(1)).alias("copies"))
-    covered = pairs.join(trained.withColumnRenamed("cls", "b"), "b").groupBy("a").agg(F.sum("copies").alias("train_rows"))
-    rows = members.filter(~F.col("train")).join(covered.withColumnRenamed("a", "cls"), "cls").select(F.col("row").alias(key), "train_rows")
+    trained = members.filter("train").groupBy("id").agg(F.count(F.lit(1)).alias("copies"))
+    covered = pairs.join(trained.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.sum("copies").alias("train_rows"))
+    rows = members.filter(~F.col("train")).join(covered.withColumnRenamed("a", "id"), "id").select(F.col("row").alias(key), "train_rows")
     tests = df.filter(~F.coalesce(F.col(split) == "train", F.lit(False))).select(key, split, origin)
     return tests.join(rows, key, "left").groupBy(split, origin).agg(F.count(F.lit(1)).alias("rows"), F.count("train_rows").alias("overlapping"), F.coalesce(F.sum("train_rows"), F.lit(0)).alias("train_matches"))
