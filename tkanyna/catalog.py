@@ -342,13 +342,13 @@ def _bleu_sql() -> str:
 
 
 def _chrf_sql() -> str:
-    bare = f"regexp_replace(coalesce({{}}, ''), '[{WS}]+', '', 'g')"
+    source, target = (f"regexp_replace(coalesce({c}, ''), '[{WS}]+', '', 'g')" for c in ("source", "target"))
     columns = []
     for n in range(1, 7):
         grams = [f"SELECT pair_id, substr({s}, i, {n}) AS g FROM toks, unnest(range(1, length({s}) - {n - 2})) AS t(i)" for s in ("a", "b")]
         match = f"SELECT coalesce(sum(least(x.n, y.n)), 0) FROM (SELECT pair_id, g, count(*) AS n FROM ({grams[0]}) GROUP BY ALL) x JOIN (SELECT pair_id, g, count(*) AS n FROM ({grams[1]}) GROUP BY ALL) y USING (pair_id, g)"
         columns += [f"(SELECT sum(greatest(length({s}) - {n - 1}, 0)) FROM toks)::BIGINT AS c{3 * n - 3 + k}" for k, s in enumerate("ab")] + [f"({match})::BIGINT AS c{3 * n - 1}"]
-    return f"WITH toks AS (SELECT pair_id, {bare.format('source')} AS a, {bare.format('target')} AS b FROM parallel_pairs) SELECT {', '.join(columns)}"
+    return f"WITH toks AS (SELECT pair_id, {source} AS a, {target} AS b FROM parallel_pairs) SELECT {', '.join(columns)}"
 
 
 def oracle_sql() -> dict[str, str]:
