@@ -6,7 +6,7 @@ A proportional-odds model with an L2 penalty is fitted on at most SAMPLE ratings
 everything else covers all documents.
 
 Null and blank texts get no level, texts without words level 1. A text rated more than once counts once for each
-rating in the fit; without any rating there is nothing to calibrate by, and fitting raises ValueError.
+rating in the fit; without any rating there is nothing to calibrate by, and no text gets a level.
 """
 
 from __future__ import annotations
@@ -142,8 +142,8 @@ def corpus_counts(documents: DataFrame, text: str) -> Broadcast:
     return documents.sparkSession.sparkContext.broadcast(counts)
 
 
-def fitted(documents: DataFrame, labels: DataFrame, key: str, text: str, level: str, counts: Broadcast, sample: int = SAMPLE) -> OrdinalModel:
-    """The model of at most `sample` ratings, those of the ids that hash lowest."""
+def fitted(documents: DataFrame, labels: DataFrame, key: str, text: str, level: str, counts: Broadcast, sample: int = SAMPLE) -> OrdinalModel | None:
+    """The model of at most `sample` ratings, those of the ids that hash lowest; None without a rated text."""
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, int] = {}
@@ -157,7 +157,7 @@ def fitted(documents: DataFrame, labels: DataFrame, key: str, text: str, level:
     texts = documents.select(F.col(key).alias("row"), F.col(text).alias("text")).filter("text is not null")
     rows = texts.join(rated, "row").mapInPandas(measure, "row bigint, level int, x array<double>").toPandas().sort_values(["row", "level"], kind="stable")
     if not len(rows):
-        raise ValueError("no graded text to fit on")
+        return None
     return fit(np.stack(rows["x"].to_numpy()), rows["level"].to_numpy(np.int64))
 
 
@@ -165,6 +165,8 @@ def reading_levels(documents: DataFrame, labels: DataFrame, key: str, text: str,
     """A row (key, level) for every document whose text isn't null or blank; a text without words is level 1."""
     counts = corpus_counts(documents, text)
     model = fitted(documents, labels, key, text, level, counts)
+    if model is None:
+        return documents.sparkSession.createDataFrame([], f"{key} bigint, level int")
 
     def grade(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, int] = {}

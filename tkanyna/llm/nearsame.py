@@ -34,6 +34,8 @@ SLOTS = 1 << 18  # counts of words, whatever the size of the corpus
 RARE = 4000  # a word in more classes than this serves only in pairs of words
 BLOCK = 10_000  # classes of one key that one task compares
 LEAF = 48
+GRID = 1_000_000  # pairs of a leaf that are compared at once
+LONG = 120  # distinct words; a longer text has keys of single words only, so that pairs of its words don't multiply
 
 
 def word_set(text: str | None) -> list[str]:
@@ -82,8 +84,11 @@ def keys_of(codes: np.ndarray, counts: np.ndarray) -> list[tuple[int, int]]:
     order = np.lexsort((codes, often))
     p = prefix_length(n)
     rare = int(np.searchsorted(often[order], RARE, "right"))
-    single = [(int(order[i]), -1) for i in range(min(p, rare))]
-    return single + [(int(order[i]), int(order[j])) for i in range(rare, p) for j in range(i + 1, min(p + 1, n))]
+    single = p if 10 * n > TENTHS * LONG else min(p, rare)  # sets that may be near-same to one of more than LONG words, too
+    keys = [(int(order[i]), -1) for i in range(single)]
+    if n <= LONG:
+        keys += [(int(order[i]), int(order[j])) for i in range(rare, p) for j in range(i + 1, min(p + 1, n))]
+    return keys
 
 
 def bitmap(codes: np.ndarray) -> tuple[int, int]:
@@ -165,24 +170,31 @@ class BKTree:
 
     def __init__(self, bits: np.ndarray, n: np.ndarray):
         self.bits, self.n = bits, n
-        self.root = self._node(np.arange(len(n)))
+        self.root = self._build(np.arange(len(n)))
 
     def _distance(self, places: np.ndarray, to: int) -> np.ndarray:
         return np.bitwise_count(self.bits[places] ^ self.bits[to]).sum(axis=1, dtype=np.int64)
 
-    def _node(self, places: np.ndarray):
-        if len(places) <= LEAF:
-            return places
-        top = int(places[0])
-        rest = places[1:]
-        d = self._distance(rest, top)
-        order = np.argsort(d, kind="stable")
-        cuts = np.flatnonzero(np.diff(d[order])) + 1
-        children = {}
-        for part in np.split(order, cuts):
-            k = int(d[part[0]])
-            children[k] = rest[part] if k == 0 else self._node(rest[part])
-        return top, children
+    def _build(self, places: np.ndarray):
+        top: dict[int, object] = {}
+        todo = [(places, top, 0)]
+        while todo:
+            part, parent, edge = todo.pop()
+            if len(part) <= LEAF:
+                parent[edge] = part
+                continue
+            first, rest = int(part[0]), part[1:]
+            children: dict[int, object] = {}
+            parent[edge] = (first, children)
+            d = self._distance(rest, first)
+            order = np.argsort(d, kind="stable")
+            for group in np.split(order, np.flatnonzero(np.diff(d[order])) + 1):
+                k = int(d[group[0]])
+                if k == 0:
+                    children[0] = rest[group]  # one bitmap: a leaf, however many they are
+                else:
+                    todo.append((rest[group], children, k))
+        return top[0]
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """Places (a < b) whose distance is within what their sizes allow."""
@@ -192,12 +204,14 @@ class BKTree:
         while todo:
             node, queries = todo.pop()
             if isinstance(node, np.ndarray):
-                a, b = (x.ravel() for x in np.meshgrid(queries, node, indexing="ij"))
-                keep = a < b
-                a, b = a[keep], b[keep]
-                keep = near(self.bits, self.n, a, b)
-                left.append(a[keep])
-                right.append(b[keep])
+                step = max(1, GRID // max(1, len(node)))
+                for k in range(0, len(queries), step):
+                    a, b = (x.ravel() for x in np.meshgrid(queries[k : k + step], node, indexing="ij"))
+                    keep = a < b
+                    a, b = a[keep], b[keep]
+                    keep = near(self.bits, self.n, a, b)
+                    left.append(a[keep])
+                    right.append(b[keep])
                 continue
             top, children = node
             d = self._distance(queries, top)

@@ -23,14 +23,14 @@ GREEK_LATIN = "aiopxykABEHIKMOPTX"
 # Spaces that are not U+0020, characters without a shape, and marks used as an apostrophe.
 SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 INVISIBLE = "\u00ad\u034f\u061c\u180e\u200b\u200c\u200d\u200e\u200f\u2060\u2061\u2062\u2063\u2064\ufeff\ufe0e\ufe0f"
-APOSTROPHES = "\u2019\u2018\u02bc\u02b9`\u00b4\u2032\uff07\u201b"
+APOSTROPHES = "\u2019\u2018\u02bc\u02b9`\u00b4\u2032\u201b"
 
 TO_CYRILLIC = str.maketrans(LATIN + GREEK, CYRILLIC + GREEK_CYRILLIC)
 TO_LATIN = str.maketrans(CYRILLIC + GREEK, LATIN + GREEK_LATIN)
 SHAPES = (
     {ord(c): " " for c in SPACES}
     | {ord(c): None for c in INVISIBLE}
-    | {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F) if chr(c) not in APOSTROPHES}
+    | {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)}
     | {0x2010: "-", 0x2011: "-"}
 )
 COMPOSED = (("и\u0306", "й"), ("И\u0306", "Й"), ("і\u0308", "ї"), ("І\u0308", "Ї"), ("i\u0308", "ї"), ("I\u0308", "Ї"))
@@ -78,7 +78,7 @@ def alphabet(token: str, before: str = "", latin_beside: bool = False) -> tuple[
     if scripts <= {"C"}:
         if before == "°" and token == "С":
             return "C", False
-        if len(token) > 1 and not set(token) - {"Х", "І"} and "Х" in token and ROMAN.fullmatch(roman := token.translate(TO_LATIN)):
+        if len(token) > 1 and not set(token) - {"Х", "І"} and ROMAN.fullmatch(roman := token.translate(TO_LATIN)):
             return roman, False
         return token, False
     cyrillic, latin = ("C", False) in kinds, ("L", False) in kinds
