@@ -1,7 +1,8 @@
 """Reading level of a text by regularised ordinal regression, calibrated to graded texts.
 
 Features: lexical diversity, word rarity (counts of all words of all documents, kept in a table of fixed size), share
-of connectives, a clause-depth proxy (commas and subordinating words a sentence), and lengths of words and sentences.
+of connectives, a clause-depth proxy (commas and subordinating words a sentence), and lengths of words and sentences;
+each as a mean of the text and, where sentences of one text differ, by its spread over them.
 A proportional-odds model with an L2 penalty is fitted on at most SAMPLE ratings, those of the ids that hash lowest;
 everything else covers all documents.
 
@@ -21,18 +22,18 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tkanyna.llm.words import code, words
+from tkanyna.llm.words import WORD, code, usual_form, words
 
 SLOTS = 1 << 18
 SAMPLE = 20_000
 LEVELS = 5
-PENALTY = 1e-3
-SENTENCE = re.compile(r"[.!?…]+[\s»”\")]*|\n+")
+PENALTY = 1e-4
+SENTENCE = re.compile(r"[.!?…]+[\s»”\")]*|\n\n+")
+HELD = 400_000  # words whose properties a worker keeps
 #: Words that join clauses, in the standard language and the dialect.
 CONNECTIVES = frozenset("і й та тай а але али проте зате однак єнак отже тому тож адже таже бо щоправда хоча хоть поки коли єк як якщо єкшо щойно лиш тільки відколи видколи що шо щоб шоб який яка яке які де куди звідки оскільки завдяки незважаючи попри внаслідок тимчасом водночас причому відповідно всупереч якби немов наче ніби".split())
 SUBORDINATE = frozenset("бо поки коли єк як якщо єкшо щойно лиш відколи видколи що шо щоб шоб який яка яке які де куди оскільки хоча хоть незважаючи попри завдяки тимчасом внаслідок причому".split())
 ENDINGS = ("ість", "ості", "істю", "ння", "ннє", "ання", "ення", "ції", "ція", "цію", "ічна", "ічну", "ічне", "ічний", "ологічн", "альн", "ивн", "ування", "ство", "ства")
-NAMES = ["words", "sentences", "word_length", "long_words", "sentence_length", "longest_sentence", "diversity", "hapax", "rarity", "rare_words", "connectives", "subordinate", "commas", "abstract", "short_sentences", "letters", "spread"]
 
 
 def slots(ws: list[str], known: dict[str, int]) -> list[int]:
@@ -46,24 +47,53 @@ def slots(ws: list[str], known: dict[str, int]) -> list[int]:
     return out
 
 
-def features(text: str, counts: np.ndarray, known: dict[str, int]) -> list[float] | None:
-    """The features of one text, in the order of NAMES, or None for a text without words."""
-    ws = words(text)
-    n = len(ws)
-    if not n:
+class Lexicon:
+    """Properties of words, each worked out once: length, rarity, and whether abstract, connective, subordinating."""
+
+    def __init__(self, counts: np.ndarray):
+        self.counts = counts
+        self.index: dict[str, int] = {}
+        self.table = np.zeros((1024, 5))
+
+    def of(self, ws: list[str]) -> np.ndarray:
+        if len(self.index) > HELD:
+            self.index.clear()
+        get = self.index.get
+        rows = [i if (i := get(w)) is not None else self._add(w) for w in ws]
+        return self.table[rows]
+
+    def _add(self, w: str) -> int:
+        i = self.index[w] = len(self.index)
+        if i >= len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        rarity = -np.log((self.counts[code(w) & (SLOTS - 1)] + 1.0) / self.counts[-1])
+        self.table[i] = len(w), rarity, len(w) > 8 and w.endswith(ENDINGS), w in CONNECTIVES, w in SUBORDINATE
+        return i
+
+
+def features(text: str, lexicon: Lexicon) -> list[float] | None:
+    """The features of one text, or None for a text without words."""
+    text = usual_form(text).replace("\u0301", "")
+    sentences = [ws for part in SENTENCE.split(text) if (ws := WORD.findall(part.lower()))]
+    if not sentences:
         return None
-    sizes = [k for part in SENTENCE.split(text) if (k := len(part.split()))] or [n]
-    k = len(sizes)
-    lengths = np.fromiter(map(len, ws), np.int64, n)
-    distinct = set(ws)
-    often = -np.log((counts[slots(ws, known)] + 1.0) / counts[-1])
-    joined = sum(w in CONNECTIVES for w in ws)
-    below = sum(w in SUBORDINATE for w in ws)
-    mean = n / k
+    flat = [w for ws in sentences for w in ws]
+    n, k = len(flat), len(sentences)
+    size = np.fromiter(map(len, sentences), np.int64, k)
+    starts = np.cumsum(size) - size
+    table = lexicon.of(flat)
+    length, rarity = table[:, 0], table[:, 1]
+    letters, rare, abstract, joined, below = np.add.reduceat(table, starts, axis=0).T
+    common = np.add.reduceat((rarity < 6.5).astype(float), starts) / size
+    at = [int(q * (k - 1) + 0.5) for q in (0.2, 0.5, 0.8)]
+    share = lambda x: np.count_nonzero(x) / k
+    mean, distinct = n / k, len(set(flat))
     return [
-        np.log1p(n), np.log1p(k), float(lengths.mean()), float((lengths > 9).mean()), np.log(mean), np.log(max(sizes)), len(distinct) / n ** 0.7,
-        len(distinct) / n, float(often.mean()), float((often > 9.5).mean()), joined / k, below / k, text.count(",") / k, sum(w.endswith(ENDINGS) and len(w) > 8 for w in ws) / n,
-        sum(s < 7 for s in sizes) / k, float((lengths > 12).mean()), float(np.std(sizes)) / mean,
+        np.log1p(n), np.log1p(k), np.log(mean), np.log(size.max()), size.std() / mean, share(size <= 4), share(size <= 7), share(size >= 11), share(size >= 16),
+        length.mean(), np.count_nonzero(length > 9) / n, np.count_nonzero(length > 12) / n, *np.sort(letters / size)[at],
+        rarity.mean(), np.count_nonzero(rarity > 9.5) / n, *np.sort(rare / size)[at], common.mean(), share(common > 0.5),
+        distinct / n**0.7, distinct / n, joined.sum() / k, share(joined > 0), share(joined > 1), below.sum() / k, share(below > 0), text.count(",") / k,
+        abstract.sum() / n, share(abstract > 0), share(abstract > 1), share(abstract > 3),
     ]
 
 
@@ -92,7 +122,7 @@ def expand(z: np.ndarray) -> np.ndarray:
     return np.concatenate([z, z * z], axis=1)
 
 
-def fit(x: np.ndarray, y: np.ndarray, penalty: float = PENALTY, steps: int = 600) -> OrdinalModel:
+def fit(x: np.ndarray, y: np.ndarray, penalty: float = PENALTY, steps: int = 1000) -> OrdinalModel:
     """The model by Adam on the whole sample; the same rows in the same order give the same model."""
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     z = expand((x - mean) / scale)
@@ -146,9 +176,9 @@ def fitted(documents: DataFrame, labels: DataFrame, key: str, text: str, level:
     """The model of at most `sample` ratings, those of the ids that hash lowest; None without a rated text."""
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, int] = {}
+        lexicon = Lexicon(counts.value)
         for batch in batches:
-            x = [features(t, counts.value, known) for t in batch["text"].tolist()]
+            x = [features(t, lexicon) for t in batch["text"].tolist()]
             out = pd.DataFrame({"row": batch["row"], "level": batch["level"], "x": x})
             yield out[out["x"].notna()]
 
@@ -169,10 +199,10 @@ def reading_levels(documents: DataFrame, labels: DataFrame, key: str, text: str,
         return documents.sparkSession.createDataFrame([], f"{key} bigint, level int")
 
     def grade(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, int] = {}
+        lexicon = Lexicon(counts.value)
         for batch in batches:
             batch = batch[batch["text"].str.strip() != ""]
-            x = [features(t, counts.value, known) for t in batch["text"].tolist()]
+            x = [features(t, lexicon) for t in batch["text"].tolist()]
             found = [i for i, v in enumerate(x) if v is not None]
             levels = np.ones(len(x), np.int64)
             if found:
