@@ -109,6 +109,27 @@ def cross_split_pairs(df: DataFrame, key: str, fields: tuple[str, str], split: s
     return pairs.join(tests, "a").join(trains, "b").select("test_row", "train_row")
 
 
+def coverage(df: DataFrame, key: str, fields: tuple[str, str], split: str, train: str = "train") -> DataFrame:
+    """(key, train_rows, covered) of each evaluation row that overlaps: the share of its second field's words that the
+    near-same training rows hold, matched words of all of them merged."""
+    members, pairs = cross_split_classes(df, key, fields, split, train)
+    pairs = written(pairs)
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"id": batch["id"], "words": [" ".join(word_set(t)) for t in batch["text"].tolist()]})
+
+    texts = df.select(F.col(key).alias("id"), F.col(fields[1]).alias("text")).join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id")
+    words = written(texts.mapInPandas(sets, "id bigint, words string"))
+    one = words.select(F.col("id").alias("a"), F.split("words", " ").alias("own"))
+    other = words.select(F.col("id").alias("b"), F.split("words", " ").alias("theirs"))
+    held = pairs.join(one, "a").join(other, "b").select("a", F.size("own").alias("n"), F.explode(F.array_intersect("own", "theirs")).alias("word")).groupBy("a", "n", "word").count()
+    share = held.groupBy("a", "n").agg(F.count(F.lit(1)).alias("hit")).select(F.col("a").alias("id"), F.round(F.col("hit") / F.col("n"), 6).alias("covered"))
+    copies = members.filter("train").groupBy("id").agg(F.count(F.lit(1)).alias("copies")).withColumnRenamed("id", "b")
+    many = pairs.join(copies, "b").groupBy("a").agg(F.sum("copies").alias("train_rows")).withColumnRenamed("a", "id")
+    return members.filter(~F.col("train")).join(share, "id").join(many, "id").select(F.col("row").alias(key), "train_rows", "covered")
+
+
 def overlap_report(df: DataFrame, key: str, fields: tuple[str, str], split: str, origin: str) -> DataFrame:
     """Per evaluation split and origin: its rows, those that overlap with training, and the training rows concerned."""
     members, pairs = cross_split_classes(df, key, fields, split)

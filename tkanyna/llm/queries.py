@@ -49,6 +49,10 @@ def p3_report(spark: SparkSession, folder: str) -> DataFrame:
     return overlap.overlap_report(_read(spark, folder, "parallel_pairs"), "pair_id", ("source", "target"), "split", "origin")
 
 
+def p3_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    return overlap.coverage(_read(spark, folder, "parallel_pairs"), "pair_id", ("source", "target"), "split")
+
+
 def _values(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike.stacked([("standard_ukrainian", _read(spark, folder, "standard_ukrainian"), "sent_id", ["text"]), ("parallel_pairs", _read(spark, folder, "parallel_pairs"), "pair_id", ["source", "target"])])
 
@@ -111,7 +115,7 @@ def p9_profile(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p1_found, p1_groups, p2_found, p2_rates, p2_prefix_copies, p3_found, p3_report, p4_found, p4_values, p5_found, p7_found, p7_items, p7_cleaned, p8_mixture, p8_report, p9_found, p9_profile]
+    found = [p1_found, p1_groups, p2_found, p2_rates, p2_prefix_copies, p3_found, p3_report, p3_coverage, p4_found, p4_values, p5_found, p7_found, p7_items, p7_cleaned, p8_mixture, p8_report, p9_found, p9_profile]
     return {f.__name__: f for f in found}
 
 
