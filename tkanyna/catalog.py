@@ -260,6 +260,11 @@ def generation_progress(spark, folder):
     return corpus.batch_progress(generate_stub(spark, folder))
 
 
+def running_valid(spark, folder):
+    valid = _judged(spark, folder).groupBy(F.floor(F.col("line_num") / 10).cast("bigint").alias("batch_id")).agg(F.count_if(F.col("reason").isNull()).alias("ok"))
+    return assemble.running_total(valid, "batch_id", "ok")
+
+
 def tokenized_pairs(spark, folder):
     return tokens.training_columns(_read(spark, folder, "parallel_pairs").filter("source is not null and target is not null"))
 
@@ -310,7 +315,7 @@ def p6_report(spark, folder):
 QUERIES = [
     sentence_ingest, sentence_limit, corpus_dedup, merge_corpora, swap_roles, tokenize_counts, tf_normalized, dict_match_topk, dict_match_batch, batch_assign, prompts, clean_text, validity_generator,
     reject_reason, reject_histogram, corpus_stats, clean_pairs, json_lines_stats, parse_json_response, parse_text_response, provenance_records, resume_pending, train_val_split, chat_format, chat_prompt,
-    dialect_names, paired_predictions, bleu_ngram_stats, bleu_corpus, chrf_stats, chrf_corpus, ter_corpus, generate_stub, generation_progress, tokenized_pairs, token_id_mask, pad_to_multiple, training_steps,
+    dialect_names, paired_predictions, bleu_ngram_stats, bleu_corpus, chrf_stats, chrf_corpus, ter_corpus, generate_stub, generation_progress, running_valid, tokenized_pairs, token_id_mask, pad_to_multiple, training_steps,
     stream_counts, p6_found, p6_records, p6_report,
 ]
 
@@ -381,6 +386,7 @@ def oracle_sql() -> dict[str, str]:
         "reject_reason": f"WITH {JUDGED} SELECT DISTINCT line_num, reason FROM judged",
         "reject_histogram": f"WITH {JUDGED} SELECT reason, count(*) AS n, min(line_num) AS first_line FROM judged WHERE reason IS NOT NULL GROUP BY 1",
         "corpus_stats": f"WITH {JUDGED} SELECT count(*) AS total, count(*) FILTER (reason IS NULL) AS valid, count(reason) AS filtered, printf('%.1f', 100.0 * count(*) FILTER (reason IS NULL) / count(*)) AS valid_percent, printf('%.1f', 100.0 * count(reason) / count(*)) AS filtered_percent FROM judged",
+        "running_valid": f"WITH {JUDGED}, b AS (SELECT line_num // 10 AS batch_id, count(*) FILTER (reason IS NULL) AS ok FROM judged GROUP BY 1) SELECT *, sum(ok) OVER (ORDER BY batch_id)::BIGINT AS total FROM b",
         "clean_pairs": f"WITH {JUDGED} SELECT line_num, {sql_clean('translation')} AS source, source AS target FROM judged WHERE reason IS NULL",
         "parse_json_response": f"WITH {REPLIES}, p AS (SELECT batch_id, {fit.format(f'list_transform(said, lambda t: {cleaned})')} AS said FROM replies) SELECT batch_id, {positions.format('said')} FROM p",
         "parse_text_response": f"WITH {REPLIES}, r AS (SELECT batch_id, array_to_string(list_transform(said, lambda t, i: i || '. ' || t), chr(10)) AS response FROM replies), p AS (SELECT batch_id, {fit.format(f'list_transform({numbered}, lambda t: {sql_clean("t")})')} AS said FROM r) SELECT batch_id, {positions.format('said')} FROM p",

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tkanyna.functions.text import not_blank
+from tkanyna.session import written
 
 
 def union_all(*parts: DataFrame) -> DataFrame:
@@ -101,6 +102,19 @@ def training_steps(rows: int, batch: int, accumulate: int, epochs: int) -> tuple
     return steps, min(1000, int(0.1 * steps))
 
 
+def running_total(df: DataFrame, order: str, value: str, name: str = "total") -> DataFrame:
+    """With the sum of value up to each row in the order of a unique key: sums within ranges, offset by the ranges before."""
+    kept = written(df.orderBy(order).withColumn("_p", F.spark_partition_id()))
+    sums = sorted((r["_p"], r["s"] or 0) for r in kept.groupBy("_p").agg(F.sum(value).alias("s")).collect())
+    offsets, total = [], 0
+    for part, size in sums:
+        offsets.append((part, total))
+        total += size
+    before = df.sparkSession.createDataFrame(offsets, "_p int, _before bigint")
+    own = F.sum(value).over(Window.partitionBy("_p").orderBy(order))
+    return kept.withColumn("_own", own).join(F.broadcast(before), "_p").select(*df.columns, (F.col("_own") + F.col("_before")).alias(name))
+
+
 def padded(df: DataFrame, ids: str, batch: str, multiple: int = 8, pad: int = 0) -> DataFrame:
     """Ids filled with pad to the longest of their batch, rounded up to a multiple."""
     longest = df.groupBy(batch).agg(F.max(F.size(ids)).alias("_longest"))

@@ -41,8 +41,8 @@ def provenance(rows: DataFrame, rules_file: str, timestamp: str) -> DataFrame:
 
 
 def batch_progress(rows: DataFrame) -> DataFrame:
-    """(batch_id, ok): valid pairs of each batch."""
-    return rows.groupBy("batch_id").agg(F.count_if(F.col("status") == "ok").alias("ok"))
+    """(batch_id, ok, total): valid pairs of each batch, and of all batches so far."""
+    return assemble.running_total(rows.groupBy("batch_id").agg(F.count_if(F.col("status") == "ok").alias("ok")), "batch_id", "ok")
 
 
 def generate_corpus(

@@ -8,18 +8,27 @@ from pathlib import PurePath
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tkanyna.functions.text import in_length, strip
+from tkanyna.session import written
 
 CSV = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "encoding": "UTF-8"}
 RECORD = "source_standard string, generated_dialect string, dialect string, method string, provenance struct<model: string, rules_file: string, timestamp: string>"
 
 
 def numbered(df: DataFrame, name: str, start: int = 0) -> DataFrame:
-    """With the place of each row in reading order, counted without a global sort."""
-    schema = T.StructType([T.StructField(name, T.LongType(), False), *df.schema.fields])
-    return df.rdd.zipWithIndex().map(lambda x: (x[1] + start, *x[0])).toDF(schema)
+    """With the place of each row in reading order, counted within partitions and offset by the sizes of those before.
+
+    The rows are written once with their partitions, so that the places hold whatever is done with them later.
+    """
+    kept = written(df.withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()))
+    sizes = sorted(tuple(r) for r in kept.groupBy("_p").agg(F.min("_m"), F.count(F.lit(1))).collect())
+    offsets, total = [], start
+    for part, first, size in sizes:
+        offsets.append((part, total - first))
+        total += size
+    before = df.sparkSession.createDataFrame(offsets, "_p int, _before bigint")
+    return kept.join(F.broadcast(before), "_p").select((F.col("_m") + F.col("_before")).alias(name), *df.columns)
 
 
 def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
