@@ -185,7 +185,7 @@ def fitted(documents: DataFrame, labels: DataFrame, key: str, text: str, level:
     rated = labels.select(F.col(key).alias("row"), F.col(level).cast("int").alias("level")).filter(f"row is not null and level between 1 and {LEVELS}")
     rated = rated.orderBy(F.xxhash64("row"), "row", "level").limit(sample)
     texts = documents.select(F.col(key).alias("row"), F.col(text).alias("text")).filter("text is not null")
-    rows = texts.join(rated, "row").mapInPandas(measure, "row bigint, level int, x array<double>").toPandas().sort_values(["row", "level"], kind="stable")
+    rows = texts.join(F.broadcast(rated), "row").mapInPandas(measure, "row bigint, level int, x array<double>").toPandas().sort_values(["row", "level"], kind="stable")
     if not len(rows):
         return None
     return fit(np.stack(rows["x"].to_numpy()), rows["level"].to_numpy(np.int64))
