@@ -23,6 +23,7 @@ from tkanyna.llm.nearsame import TENTHS, cells, class_key, keyed, shares_enough,
 from tkanyna.session import written
 
 SPAN = 2_000_000  # matches that are compared at once
+SIZES = 1 << 20  # sizes of sets that are told apart
 
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -37,11 +38,12 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if not len(rows) or not held:
             continue
         if automaton is None:
-            passages = pd.concat(held, ignore_index=True).sort_values("place", kind="stable", ignore_index=True)
+            passages = pd.concat(held, ignore_index=True).sort_values(["place", "n"], kind="stable", ignore_index=True)
             place = passages["place"].to_numpy()
             first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-            length = np.diff(np.r_[first, len(place)])
+            rank = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(place)])) * SIZES
             ids, n = passages["id"].to_numpy(np.int64), passages["n"].to_numpy(np.int64)
+            rank += np.minimum(n, SIZES - 1)  # records of a passage stand in the order of their sizes
             bits = np.stack([passages["low"].to_numpy(), passages["high"].to_numpy()], axis=1).astype(np.uint64)
             automaton = ahocorasick.Automaton()
             for k, p in enumerate(place[first].tolist()):
@@ -56,13 +58,15 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of = np.searchsorted(np.cumsum([len(p) + 1 for p in text]), end, "left")  # the row in which a matched interval ends
         t_bits = np.stack([rows["low"].to_numpy(), rows["high"].to_numpy()], axis=1).astype(np.uint64)
         t_n, t_ids = rows["n"].to_numpy(np.int64), rows["id"].to_numpy(np.int64)
-        found = []
-        many = length[hits]
+        found = [np.zeros((0, 2), np.int64)]
+        size = t_n[of]
+        low = np.searchsorted(rank, hits * SIZES + np.minimum(-(-TENTHS * size // 10), SIZES - 1), "left")
+        many = np.searchsorted(rank, hits * SIZES + np.minimum(10 * size // TENTHS, SIZES - 1), "right") - low
         cut = np.flatnonzero(np.diff(np.cumsum(many) // SPAN)) + 1
         for part in np.split(np.arange(len(hits)), cut):
             width = many[part]
             offset = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
-            e = np.repeat(first[hits[part]], width) + offset
+            e = np.repeat(low[part], width) + offset
             t = np.repeat(of[part], width)
             d = np.bitwise_count(bits[e] ^ t_bits[t]).sum(axis=1, dtype=np.int64)
             keep = d * (10 + TENTHS) <= (10 - TENTHS) * (n[e] + t_n[t])
