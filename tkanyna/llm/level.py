@@ -185,10 +185,15 @@ def fitted(documents: DataFrame, labels: DataFrame, key: str, text: str, level:
     rated = labels.select(F.col(key).alias("row"), F.col(level).cast("int").alias("level")).filter(f"row is not null and level between 1 and {LEVELS}")
     rated = rated.orderBy(F.xxhash64("row"), "row", "level").limit(sample)
     texts = documents.select(F.col(key).alias("row"), F.col(text).alias("text")).filter("text is not null")
-    rows = texts.join(F.broadcast(rated), "row").mapInPandas(measure, "row bigint, level int, x array<double>").toPandas().sort_values(["row", "level"], kind="stable")
-    if not len(rows):
-        return None
-    return fit(np.stack(rows["x"].to_numpy()), rows["level"].to_numpy(np.int64))
+    rows = texts.join(F.broadcast(rated), "row").mapInPandas(measure, "row bigint, level int, x array<double>")
+
+    def learn(pdf: pd.DataFrame) -> pd.DataFrame:  # one group, of at most `sample` rows
+        pdf = pdf.sort_values(["row", "level"], kind="stable")
+        m = fit(np.stack(pdf["x"].to_numpy()), pdf["level"].to_numpy(np.int64))
+        return pd.DataFrame({"mean": [m.mean], "scale": [m.scale], "weights": [m.weights], "cuts": [m.cuts]})
+
+    made = rows.groupBy().applyInPandas(learn, "mean array<double>, scale array<double>, weights array<double>, cuts array<double>").collect()
+    return OrdinalModel(*(np.array(v) for v in made[0])) if made else None
 
 
 def reading_levels(documents: DataFrame, labels: DataFrame, key: str, text: str, level: str) -> DataFrame:
