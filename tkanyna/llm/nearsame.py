@@ -33,7 +33,7 @@ TENTHS = 7  # of all distinct words, that many tenths occur in both
 SLOTS = 1 << 18  # counts of words, whatever the size of the corpus
 RARE = 4000  # a word in more classes than this serves only in pairs of words
 BLOCK = 10_000  # classes of one key that one task compares
-LEAF = 48
+LEAF = 128
 GRID = 1_000_000  # pairs of a leaf that are compared at once
 LONG = 120  # distinct words; a longer text has keys of single words only, so that pairs of its words don't multiply
 
@@ -170,11 +170,24 @@ class BKTree:
 
     def __init__(self, bits: np.ndarray, n: np.ndarray):
         self.bits, self.n = bits, n
+        self.low, self.high = np.ascontiguousarray(bits[:, 0]), np.ascontiguousarray(bits[:, 1])
+        most = 2 * int(n.max(initial=0)) + 1
+        self.limit = np.minimum((10 - TENTHS) * np.arange(most) // (10 + TENTHS), 128).astype(np.uint8)
         self.root = self._build(np.arange(len(n)))
 
     def _distance(self, places: np.ndarray, to: int) -> np.ndarray:
         return np.bitwise_count(self.bits[places] ^ self.bits[to]).sum(axis=1, dtype=np.int64)
 
+    def _leaf(self, queries: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a query and a place behind it within what their sizes allow."""
+        d = np.bitwise_count(self.low[queries][:, None] ^ self.low[places])
+        d += np.bitwise_count(self.high[queries][:, None] ^ self.high[places])
+        close = d <= self.limit[self.n[queries][:, None] + self.n[places]]
+        i, j = np.nonzero(close)
+        a, b = queries[i], places[j]
+        keep = a < b
+        return a[keep], b[keep]
+
     def _build(self, places: np.ndarray):
         top: dict[int, object] = {}
         todo = [(places, top, 0)]
@@ -206,12 +219,9 @@ class BKTree:
             if isinstance(node, np.ndarray):
                 step = max(1, GRID // max(1, len(node)))
                 for k in range(0, len(queries), step):
-                    a, b = (x.ravel() for x in np.meshgrid(queries[k : k + step], node, indexing="ij"))
-                    keep = a < b
-                    a, b = a[keep], b[keep]
-                    keep = near(self.bits, self.n, a, b)
-                    left.append(a[keep])
-                    right.append(b[keep])
+                    a, b = self._leaf(queries[k : k + step], node)
+                    left.append(a)
+                    right.append(b)
                 continue
             top, children = node
             d = self._distance(queries, top)
