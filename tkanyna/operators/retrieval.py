@@ -37,7 +37,7 @@ def relevant_entries(sentences: DataFrame, entries: DataFrame, batch: str = "bat
     entries: entry_idx, ukrainian, hutsul. Equal scores are ranked by entry_idx. With a threshold of 0 or less every
     entry is compared with every batch, entries without a common word scoring 0.
     """
-    ours = term_counts(sentences, batch, text)
+    ours = term_counts(sentences.select(batch, text).repartition(batch), batch, text)  # one shuffle serves counts, norms, scores and ranks
     theirs = term_counts(entries, "entry_idx", "ukrainian")
     few = theirs.count() <= MOST_BROADCAST
     side = (lambda d: F.broadcast(d)) if few else (lambda d: d)
