@@ -1,4 +1,6 @@
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from tkanyna.llm.words import usual_form, words
 
@@ -27,3 +29,18 @@ def test_words():
     assert words("М’ЯТА, м'ята; 12-й за́мок­!") == ["м'ята", "м'ята", "12", "й", "замок"]
     assert words(None) == words("") == words("…​") == []
     assert words("Kіт") == words("кіт")
+
+
+def test_foreign_texts_keep_their_letters():
+    for text in ("Vecina noastră a adus o ladă", "într-o dimineață", "My cousin hid a copper bell"):
+        assert usual_form(text) == text
+
+
+ALPHABET = "абвіїйиуКСОРХІ'’`-— .,°²№XIVCMaopcxyiUSe1２ 　​­̆̈́ΟρΚK«»"
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet=ALPHABET, max_size=30))
+def test_the_usual_form_is_its_own(text):
+    usual = usual_form(text)
+    assert usual_form(usual) == usual and words(usual) == words(text)

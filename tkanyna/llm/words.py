@@ -43,6 +43,8 @@ WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)*")
 APOSTROPHE = re.compile(rf"(?<=[^\W\d_])[{APOSTROPHES}](?=[^\W\d_])|(?<=[^\W\d_]\u0301)[{APOSTROPHES}](?=[^\W\d_])")
 ROMAN = re.compile(r"(?=[IVXLCDM])M{0,3}(?:C[MD]|D?C{0,3})(?:X[CL]|L?X{0,3})(?:I[XV]|V?I{0,3})")
 ONLY_CYRILLIC = re.compile(f"[^{CYRILLIC}\\W\\d_]")
+CYRILLIC_ONLY = re.compile(f"[\u0400-\u052f](?<![{CYRILLIC}])")
+LATIN_ONLY = re.compile(f"[a-zA-Z](?<![{LATIN}])")
 ALIKE = frozenset(LATIN + CYRILLIC + GREEK)
 
 
@@ -56,21 +58,23 @@ def script_of(char: str) -> str:
     return "G" if 0x370 <= code < 0x400 else ""
 
 
-def shaped(text: str) -> str:
-    """The text with ordinary spaces, widths, apostrophes and composed letters; alphabets are left as they are."""
-    text = text.translate(SHAPES)
+def composed(text: str) -> str:
+    """Letters in one character; a stress mark stays a character of its own."""
     for parts, whole in COMPOSED:
         if parts in text:
             text = text.replace(parts, whole)
-    if "\u0301" not in text:
-        text = unicodedata.normalize("NFC", text)
-    return APOSTROPHE.sub("'", text)
+    return text if "\u0301" in text else unicodedata.normalize("NFC", text)
+
+
+def shaped(text: str) -> str:
+    """The text with ordinary spaces, widths, apostrophes and composed letters; alphabets are left as they are."""
+    return APOSTROPHE.sub("'", composed(text.translate(SHAPES)))
 
 
 def alphabet(token: str, before: str = "", latin_beside: bool = False) -> tuple[str, bool]:
     """The token in the alphabet its letters call for, and whether they leave that open.
 
-    before: the character in front of it. latin_beside: a hyphen joins it to a Latin word. Letters that occur in one
+    before: the character in front of it. latin_beside: a hyphen joins it to a Latin word, or all words around are. Letters that occur in one
     alphabet only decide; a token of look-alikes only is a Roman numeral, the C of a degree sign, or open.
     """
     kinds = {(script_of(c), c in ALIKE) for c in token if c.isalpha()}
@@ -96,29 +100,38 @@ def alphabet(token: str, before: str = "", latin_beside: bool = False) -> tuple[
     return token.translate(TO_CYRILLIC), True
 
 
+def _settled(text: str) -> bool:
+    return bool(PLAIN.fullmatch(text)) and not ROMANLIKE.search(text)
+
+
+def _beside_latin(text: str, found: list[re.Match], k: int) -> bool:
+    """Whether a hyphen joins the k-th token to one with a letter that only the Latin alphabet has."""
+    before = k > 0 and text[found[k - 1].end() : found[k].start()] == "-" and LATIN_ONLY.search(found[k - 1].group())
+    after = k + 1 < len(found) and text[found[k].end() : found[k + 1].start()] == "-" and LATIN_ONLY.search(found[k + 1].group())
+    return bool(before or after)
+
+
 def usual_form(text: str | None, spelling: dict[str, str] | None = None) -> str | None:
     """The value as it is usually written. spelling: canonical spellings of tokens whose letters leave the alphabet open."""
-    if not text or PLAIN.fullmatch(text) and not ROMANLIKE.search(text):
+    if not text or _settled(text):
         return text
     text = shaped(text)
-    if PLAIN.fullmatch(text) and not ROMANLIKE.search(text):
+    if _settled(text):
         return text
     out, at = [], 0
     found = list(TOKEN.finditer(text))
+    latin_text = bool(LATIN_ONLY.search(text)) and not CYRILLIC_ONLY.search(text)
     for k, m in enumerate(found):
         token, start = m.group(), m.start()
-        if PLAIN.fullmatch(token) and token.translate(TO_LATIN) == token and ONLY_CYRILLIC.search(token):
+        if ONLY_CYRILLIC.search(token) and PLAIN.fullmatch(token):
             continue
-        beside = False
-        for other, gap in ((found[k - 1] if k else None, text[found[k - 1].end() : start] if k else ""), (found[k + 1] if k + 1 < len(found) else None, text[m.end() : found[k + 1].start()] if k + 1 < len(found) else "")):
-            beside |= gap == "-" and other is not None and bool(re.search(r"[b-df-hj-nq-wzD-GJLNQ-SU-WYZ]", other.group())) and not re.search(f"[^{CYRILLIC}\\W\\d_a-zA-Z]", other.group())
-        fixed, unsure = alphabet(token, text[start - 1] if start else "", beside)
+        fixed, unsure = alphabet(token, text[start - 1] if start else "", latin_text or _beside_latin(text, found, k))
         if unsure and spelling:
             fixed = spelling.get(token, fixed)
         if fixed != token:
             out += [text[at:start], fixed]
             at = m.end()
-    return "".join([*out, text[at:]]) if out else text
+    return APOSTROPHE.sub("'", composed("".join([*out, text[at:]]))) if out else text
 
 
 def words(text: str | None) -> list[str]:
