@@ -44,6 +44,13 @@ def test_dictionary_rules_and_inputs(spark, tmp_path, rules):
         files.read_inputs(spark, str(path))
 
 
+def test_splits_are_united_by_name(spark, tmp_path):
+    spark.createDataFrame([("а", "б")], "source string, target string").write.parquet(str(tmp_path / "train"))
+    spark.createDataFrame([("г", "в", 1)], "target string, source string, extra int").write.parquet(str(tmp_path / "validation"))
+    got = files.read_splits(spark, [str(tmp_path / "train"), str(tmp_path / "validation")]).select("source", "target").collect()
+    assert sorted(tuple(r) for r in got) == [("а", "б"), ("в", "г")]
+
+
 def test_union_distinct_keeps_unstripped_values(spark):
     a, b = (spark.createDataFrame([(t,) for t in ts], "text string") for ts in (["а ", "б", None, "  "], ["б", "а", ""]))
     assert sorted(r.text for r in assemble.assemble([a, b]).collect()) == ["а", "а ", "б"]
