@@ -34,7 +34,7 @@ def tables(spark, documents, items):
 def test_as_brute_force(spark, monkeypatch, words_at_once):
     monkeypatch.setattr(leak, "ITEM_WORDS", words_at_once)
     documents, items = texts(1, 60), texts(2, 40)
-    d, i = tables(spark, documents, items)
+    d, i = tables(spark, documents + documents[::2], items)
     for least in (4, 6, 12):
         got = [(r.doc, r.item) for r in leaks(d, i, "doc_id", "text", "item_id", "text", least).collect()]
         assert len(got) == len(set(got)) and set(got) == brute(documents, items, least)

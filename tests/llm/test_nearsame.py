@@ -57,6 +57,13 @@ def test_a_third_are_copies(spark):
     assert pairs(spark, rows) == brute(rows)
 
 
+def test_rows_given_twice(spark):
+    rows = noisy(6, 80)
+    assert pairs(spark, rows + rows[:40]) == brute(rows)
+    groups = near_same_groups(table(spark, rows + [(None, rows[6][1])]), "sent_id", "text").collect()
+    assert len(groups) == len(rows) + 1
+
+
 def test_empty_table(spark):
     assert pairs(spark, []) == set()
     assert pairs(spark, [(1, None), (2, "")]) == set()

@@ -44,6 +44,11 @@ def test_as_brute_force(spark, monkeypatch, hot):
     assert found(spark, data) == brute(data)
 
 
+def test_rows_given_twice(spark):
+    data = rows(14)
+    assert found(spark, data + data[::3]) == brute(data)
+
+
 def test_empty_and_one_sided(spark):
     assert found(spark, []) == set()
     assert found(spark, [r for r in rows(12) if r[3] == "train"]) == set()

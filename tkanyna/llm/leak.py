@@ -122,7 +122,8 @@ def _item_sets(items: DataFrame, key: str, text: str) -> list[list[tuple[int, li
 def leaks(documents: DataFrame, items: DataFrame, doc_key: str, doc_text: str, item_key: str, item_text: str, least: int = LEAST) -> DataFrame:
     """A row (doc, item, covered) for each document and item with `least` consecutive words in common.
 
-    covered: the share of the document's words inside spans found in any item.
+    covered: the share of the document's words inside spans found in any item of one automaton. A document that is
+    given twice has its rows once.
     """
     spark = documents.sparkSession
     found = None
@@ -144,7 +145,7 @@ def leaks(documents: DataFrame, items: DataFrame, doc_key: str, doc_text: str, i
         given = documents.select(F.col(doc_key).alias("doc"), F.col(doc_text).alias("text")).filter("doc is not null and text is not null")
         rows = given.mapInPandas(scan, "doc bigint, item bigint, covered double")
         found = rows if found is None else found.unionByName(rows)
-    return found
+    return found.distinct()
 
 
 def without_leaks(documents: DataFrame, items: DataFrame, doc_key: str, doc_text: str, item_key: str, item_text: str, least: int = LEAST, most: float = 0.5) -> DataFrame:

@@ -197,7 +197,10 @@ def fitted(documents: DataFrame, labels: DataFrame, key: str, text: str, level:
 
 
 def reading_levels(documents: DataFrame, labels: DataFrame, key: str, text: str, level: str) -> DataFrame:
-    """A row (key, level) for every document whose text isn't null or blank; a text without words is level 1."""
+    """A row (key, level) for every document whose text isn't null or blank; a text without words is level 1.
+
+    A document that is given twice, with one text, has one row.
+    """
     counts = corpus_counts(documents, text)
     model = fitted(documents, labels, key, text, level, counts)
     if model is None:
@@ -215,4 +218,4 @@ def reading_levels(documents: DataFrame, labels: DataFrame, key: str, text: str,
             yield pd.DataFrame({key: batch["row"].to_numpy(), "level": levels})
 
     given = documents.select(F.col(key).alias("row"), F.col(text).alias("text")).filter("text is not null and row is not null")
-    return given.mapInPandas(grade, f"{key} bigint, level int")
+    return given.mapInPandas(grade, f"{key} bigint, level int").distinct()

@@ -309,18 +309,18 @@ def near_same_classes(df: DataFrame, key: str, text: str) -> tuple[DataFrame, Da
     pairs = tree_candidates(keyed(classes, counts, "words"))
     one = classes.select(F.col("id").alias("a"), F.col("words").alias("words_a"))
     other = classes.select(F.col("id").alias("b"), F.col("words").alias("words_b"))
-    members = rows.select("row", "cls").join(classes.select("cls", "id"), "cls").select("row", "id")
+    members = rows.select("row", "cls").distinct().join(classes.select("cls", "id"), "cls").select("row", "id")
     return members, pairs.join(one, "a").join(other, "b").filter(shares_enough("words_a", "words_b")).select("a", "b")
 
 
 def near_same_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Every pair (row_a < row_b) of rows with near-same texts, copies included."""
+    """Every pair (row_a < row_b) of rows with near-same texts, copies included; rows given twice count once."""
     members, pairs = near_same_classes(df, key, text)
     a = members.select(F.col("row").alias("row_a"), F.col("id").alias("a"))
     b = members.select(F.col("row").alias("row_b"), F.col("id").alias("b"))
     copies = a.join(b, F.col("a") == F.col("b")).filter("row_a < row_b").select("row_a", "row_b")
     edited = pairs.join(a, "a").join(b, "b").select(F.least("row_a", "row_b").alias("row_a"), F.greatest("row_a", "row_b").alias("row_b"))
-    return copies.unionByName(edited)
+    return copies.unionByName(edited).distinct()
 
 
 def near_same_groups(df: DataFrame, key: str, text: str) -> DataFrame:

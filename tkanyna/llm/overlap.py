@@ -101,16 +101,19 @@ def cross_split_classes(df: DataFrame, key: str, fields: tuple[str, str], split:
     other = classes.filter("trains").select(F.col("id").alias("b"), F.col("one").alias("one_b"), F.col("other").alias("other_b"))
     edited = found.join(one, "a").join(other, "b").filter(shares_enough("other_a", "other_b") & shares_enough("one_a", "one_b")).select("a", "b")
     equal = classes.filter("trains and tests").select(F.col("id").alias("a"), F.col("id").alias("b"))
-    members = rows.select("row", "train", "cls").join(classes.select("cls", "id"), "cls").select("row", "train", "id")
+    members = rows.select("row", "train", "cls").distinct().join(classes.select("cls", "id"), "cls").select("row", "train", "id")
     return members, edited.unionByName(equal)
 
 
 def cross_split_pairs(df: DataFrame, key: str, fields: tuple[str, str], split: str, train: str = "train") -> DataFrame:
-    """Every pair (test_row, train_row) of an evaluation and a training row whose two fields are both near-same."""
+    """Every pair (test_row, train_row) of an evaluation and a training row whose two fields are both near-same.
+
+    Rows given twice count once.
+    """
     members, pairs = cross_split_classes(df, key, fields, split, train)
     tests = members.filter(~F.col("train")).select(F.col("row").alias("test_row"), F.col("id").alias("a"))
     trains = members.filter("train").select(F.col("row").alias("train_row"), F.col("id").alias("b"))
-    return pairs.join(tests, "a").join(trains, "b").select("test_row", "train_row")
+    return pairs.join(tests, "a").join(trains, "b").select("test_row", "train_row").distinct()
 
 
 def coverage(df: DataFrame, key: str, fields: tuple[str, str], split: str, train: str = "train") -> DataFrame:
