@@ -26,54 +26,66 @@ SPAN = 2_000_000  # matches that are compared at once
 SIZES = 1 << 20  # sizes of sets that are told apart
 
 
-def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Candidates (a: evaluation, b: training class) of one shard, whose evaluation rows come first."""
-    held: list[pd.DataFrame] = []
-    automaton = None
-    for batch in batches:
-        is_train = batch["train"].to_numpy(bool)
-        if not is_train.all():
-            held.append(batch[~is_train])
-        rows = batch[is_train]
-        if not len(rows) or not held:
-            continue
-        if automaton is None:
-            passages = pd.concat(held, ignore_index=True).sort_values(["place", "n"], kind="stable", ignore_index=True)
-            place = passages["place"].to_numpy()
-            first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-            rank = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(place)])) * SIZES
-            ids, n = passages["id"].to_numpy(np.int64), passages["n"].to_numpy(np.int64)
-            rank += np.minimum(n, SIZES - 1)  # records of a passage stand in the order of their sizes
-            bits = np.stack([passages["low"].to_numpy(), passages["high"].to_numpy()], axis=1).astype(np.uint64)
-            automaton = ahocorasick.Automaton()
-            for k, p in enumerate(place[first].tolist()):
-                automaton.add_word(f"|{p}|", k)
-            automaton.make_automaton()
-        rows = rows.reset_index(drop=True)
-        text = rows["place"].tolist()
-        matches = list(automaton.iter(f"|{'|'.join(text)}|"))
+def _bits(rows: pd.DataFrame) -> np.ndarray:
+    return np.stack([rows["low"].to_numpy(), rows["high"].to_numpy()], axis=1).astype(np.uint64)
+
+
+class PassageAutomaton:
+    """An Aho-Corasick automaton over the evaluation passages of a shard, and the records that have each of them.
+
+    rows: place (the passage, delimited by nothing of its own), id, bits and size n of a record. The records of a
+    passage stand together, in the order of their sizes.
+    """
+
+    def __init__(self, rows: pd.DataFrame):
+        rows = rows.sort_values(["place", "n"], kind="stable", ignore_index=True)
+        place = rows["place"].to_numpy()
+        new = np.r_[True, place[1:] != place[:-1]]
+        self.ids, self.n, self.bits = rows["id"].to_numpy(np.int64), rows["n"].to_numpy(np.int64), _bits(rows)
+        self.rank = (np.cumsum(new) - 1) * SIZES + np.minimum(self.n, SIZES - 1)
+        self.automaton = ahocorasick.Automaton()
+        for k, passage in enumerate(place[new].tolist()):
+            self.automaton.add_word(f"|{passage}|", k)
+        self.automaton.make_automaton()
+
+    def intervals(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(text, passage) of each matched interval of the texts, which are scanned as one."""
+        matches = list(self.automaton.iter(f"|{'|'.join(texts)}|"))
         if not matches:
-            continue
-        end, hits = np.array(matches, np.int64).T
-        of = np.searchsorted(np.cumsum([len(p) + 1 for p in text]), end, "left")  # the row in which a matched interval ends
-        t_bits = np.stack([rows["low"].to_numpy(), rows["high"].to_numpy()], axis=1).astype(np.uint64)
-        t_n, t_ids = rows["n"].to_numpy(np.int64), rows["id"].to_numpy(np.int64)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        end, passage = np.array(matches, np.int64).T
+        return np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), end, "left"), passage
+
+    def candidates(self, rows: pd.DataFrame) -> pd.DataFrame:
+        """(a, b): evaluation and training records that share a passage and whose sizes and bits allow enough coverage."""
+        text, passage = self.intervals(rows["place"].tolist())
+        n, ids, bits = rows["n"].to_numpy(np.int64), rows["id"].to_numpy(np.int64), _bits(rows)
+        least, most = -(-TENTHS * n[text] // 10), 10 * n[text] // TENTHS
+        start = np.searchsorted(self.rank, passage * SIZES + np.minimum(least, SIZES - 1), "left")
+        many = np.searchsorted(self.rank, passage * SIZES + np.minimum(most, SIZES - 1), "right") - start
         found = [np.zeros((0, 2), np.int64)]
-        size = t_n[of]
-        low = np.searchsorted(rank, hits * SIZES + np.minimum(-(-TENTHS * size // 10), SIZES - 1), "left")
-        many = np.searchsorted(rank, hits * SIZES + np.minimum(10 * size // TENTHS, SIZES - 1), "right") - low
-        cut = np.flatnonzero(np.diff(np.cumsum(many) // SPAN)) + 1
-        for part in np.split(np.arange(len(hits)), cut):
+        for part in np.split(np.arange(len(text)), np.flatnonzero(np.diff(np.cumsum(many) // SPAN)) + 1):
             width = many[part]
-            offset = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
-            e = np.repeat(low[part], width) + offset
-            t = np.repeat(of[part], width)
-            d = np.bitwise_count(bits[e] ^ t_bits[t]).sum(axis=1, dtype=np.int64)
-            keep = d * (10 + TENTHS) <= (10 - TENTHS) * (n[e] + t_n[t])
-            found.append(np.unique(np.stack([ids[e[keep]], t_ids[t[keep]]], axis=1), axis=0))
+            within = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
+            a, b = np.repeat(start[part], width) + within, np.repeat(text[part], width)
+            differ = np.bitwise_count(self.bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
+            keep = (differ * (10 + TENTHS) <= (10 - TENTHS) * (self.n[a] + n[b])) & (self.ids[a] != ids[b])
+            found.append(np.unique(np.stack([self.ids[a[keep]], ids[b[keep]]], axis=1), axis=0))
         pairs = np.concatenate(found)
-        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-        yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+
+def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Candidates of one shard, whose evaluation rows come before its training rows."""
+    held: list[pd.DataFrame] = []
+    automaton = None
+    for batch in batches:
+        trains = batch["train"].to_numpy(bool)
+        if not trains.all():
+            held.append(batch[~trains])
+        if trains.any() and held:
+            automaton = automaton or PassageAutomaton(pd.concat(held, ignore_index=True))
+            yield automaton.candidates(batch[trains])
 
 
 def cross_split_classes(df: DataFrame, key: str, fields: tuple[str, str], split: str, train: str = "train") -> tuple[DataFrame, DataFrame]:
