@@ -208,6 +208,13 @@ def test_stream_runs_each_file_once(spark, tmp_path):
     assert outcomes == {"valid": 2, "translation identical to source": 1, "json_parse_error": 1}
 
 
+def test_stream_of_sentences(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("Перше досить довге речення\nкоротке\n  Друге досить довге речення \n", encoding="utf-8")
+    query = ingest.sentence_stream(spark, str(tmp_path)).writeStream.format("memory").queryName("sentences").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted(r.text for r in spark.table("sentences").collect()) == ["Друге досить довге речення", "Перше досить довге речення"]
+
+
 def test_command_line(spark, tmp_path, rules, capsys):
     txt, jsonl = tmp_path / "s.txt", tmp_path / "r.jsonl"
     txt.write_text("Перше досить довге речення\n", encoding="utf-8")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tkanyna.functions.text import _col, clean, not_blank, strip, without_numbering
+from tkanyna.functions.text import _col, clean, strip, without_numbering
 
 # What shows that a text is part of a JSON reply.
 JSON_PARTS = (r'^\s*\{\s*"translations"', r"^\s*\[", r'^\s*"[^"]*",?\s*$', r"translations\s*:")
@@ -106,6 +106,3 @@ def parse_response(response: Column | str, count: Column | int, extract_json: bo
 def mask_ids(ids: Column | str, vocabulary: int, pad: int = 0, ignored: int = -100) -> Column:
     """Ids outside 0 .. vocabulary - 1, and ignored labels, as pad."""
     return F.transform(_col(ids), lambda x: F.when((x >= 0) & (x < vocabulary) & (x != ignored), x).otherwise(F.lit(pad)))
-
-
-__all__ = ["clean", "not_blank", "is_valid", "reject_reason", "parse_json", "parse_text", "parse_response", "embedded_json", "fitted", "mask_ids"]
