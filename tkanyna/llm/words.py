@@ -10,7 +10,6 @@ from __future__ import annotations
 import re
 import unicodedata
 
-import numpy as np
 import xxhash
 
 # Characters that look alike, in the order Latin, Cyrillic.
@@ -147,8 +146,3 @@ def words(text: str | None) -> list[str]:
 def code(word: str) -> int:
     """64 bits of a word, alike on every machine."""
     return xxhash.xxh3_64_intdigest(word)
-
-
-def set_key(distinct: list[str]) -> int:
-    """Signed 64-bit key of a sorted list of distinct words."""
-    return int(np.uint64(xxhash.xxh3_64_intdigest("\n".join(distinct))).astype(np.int64))
