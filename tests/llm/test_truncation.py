@@ -56,3 +56,21 @@ def test_prefix_copies(spark):
     df = spark.createDataFrame(rows, "row bigint, text string")
     assert sorted(r.row for r in prefix_copies(df, "row", "text").collect()) == [1, 3]
     assert prefix_copies(df.limit(0), "row", "text").count() == 0
+
+
+def test_prefix_copies_of_both_fields_cut_anywhere(spark):
+    said = ["Кіт їсть рибу вдома", "Кіт їсть ри", "Кіт їс", "К", "Кіт їсть", "Пише HT", "Пише со", None, "…"]
+    other = ["кіт їсть рибу вдо", "кіт їсть рибу вдома, бо голодний", "кіт їсть раки", "пише HTML", "пише computer", "їсть рибу", "кіт їсть рибу вдома, бо голодний"]
+    rows = [(t, k, v) for t, values in (("a", said), ("b", other)) for k, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "tbl string, row_id bigint, value string")
+    found = prefix_copies(df, ["tbl", "row_id"], "value", least=1)
+    assert sorted(map(tuple, found.collect())) == [*(("a", k) for k in range(7)), ("b", 0)]
+    assert prefix_copies(df.limit(0), ["tbl", "row_id"], "value", least=1).count() == 0
+
+
+def test_prefix_copies_query_takes_both_tables(spark, tmp_path):
+    from tkanyna.llm.queries import p2_prefix_copies
+
+    spark.createDataFrame([(1, "Мати пекла хл"), (2, "Ой, снігу")], "pair_id bigint, source string").write.parquet(f"{tmp_path}/parallel_pairs.parquet")
+    spark.createDataFrame([(1, "Мати пекла хліб"), (2, "Ой"), (2, "Ой")], "record_id bigint, generated_dialect string").write.parquet(f"{tmp_path}/jsonl_corpus.parquet")
+    assert sorted(map(tuple, p2_prefix_copies(spark, str(tmp_path)).collect())) == [("jsonl_corpus", 2), ("parallel_pairs", 1)]

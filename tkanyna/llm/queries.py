@@ -37,7 +37,9 @@ def p2_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_prefix_copies(spark: SparkSession, folder: str) -> DataFrame:
-    return truncation.prefix_copies(_read(spark, folder, "parallel_pairs"), "pair_id", "source")
+    """Values of either field that are strict prefixes, perhaps inside a word, of another value of either."""
+    values = lookalike.stacked([("parallel_pairs", _read(spark, folder, "parallel_pairs"), "pair_id", ["source"]), ("jsonl_corpus", _read(spark, folder, "jsonl_corpus"), "record_id", ["generated_dialect"])])
+    return truncation.prefix_copies(values, ["tbl", "row_id"], "value", least=1)
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:

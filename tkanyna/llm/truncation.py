@@ -6,11 +6,11 @@ Two uses of one self-join by prefix:
   shuffle). Words are hashed by their consonants; the hash of the fixed-length prefix of PREFIX words, tried at the
   first SHIFTS places (a rendering may open with an interjection), picks the candidates, and an alignment decides:
   the rendering must cover a beginning of the sentence, end open, and lack the rest.
-* `prefix_copies` joins all values with each other: every value's hash of all its words meets the hashes of the
-  prefixes of all longer values. Prefix keys are distinct before the join, so a prefix that a third of the values
-  share is one row, and the join is semi: nothing is paired.
+* `prefix_copies` joins all values with each other: every value's hash of all its words but the last meets the hashes
+  of the prefixes of all longer values, and its last word must begin the next word there. Prefix keys are distinct
+  before the join, so a prefix that a third of the values share is one row, and the join is semi: nothing is paired.
 
-Null, blank and single-word values are never cut; a value that ends with . ! or ? is whole, as is one that covers its
+Null and blank values are never cut. By its own sentence, a value that ends with . ! or ? is whole, as is one that covers its
 sentence to the last word in any order. Repeated rows are judged alike; callers take distinct keys.
 """
 
@@ -24,11 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tkanyna.llm.align import alike, begins, fold, reach
-from tkanyna.llm.words import code, usual_form, words
+from tkanyna.llm.words import ALIKE, TO_CYRILLIC, TO_LATIN, WORD, code, usual_form, words
+from tkanyna.session import written
 
 PREFIX = 3
 SHIFTS = 6
 ENDED = re.compile(r"(?<![.…])[.!?][\s»”\")\]]*$")
+OPEN = frozenset("".join(ALIKE).lower())
 LEFTOVER = re.compile(r"<SEP>|^\s*\d+[.)]\s+")
 
 
@@ -73,27 +75,61 @@ def cut_renderings(df: DataFrame, key: str, rendering: str, sentence: str) -> Da
     return given.mapInPandas(judge, "row bigint").distinct()
 
 
-def prefix_copies(df: DataFrame, key: str, text: str, least: int = 4) -> DataFrame:
-    """Keys of the values of at least `least` words that are strict prefixes, word by word, of another value."""
+def _key(start: int, word: str) -> int:
+    return (start * 1_000_003 + code(word)) & 0xFFFFFFFFFFFFFFF
 
-    def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def readings(text: str, last: str) -> set[str]:
+    """The last word of a text; of look-alikes only, in either alphabet, as what is cut off may have decided it."""
+    if not set(last) <= OPEN:
+        return {last}
+    shown = WORD.findall(usual_form(text).replace("\u0301", ""))[-1]
+    if not set(shown) <= ALIKE:
+        return {last}
+    return {last, shown.translate(TO_CYRILLIC).lower(), shown.translate(TO_LATIN).lower()}
+
+
+def prefix_copies(df: DataFrame, key: str | list[str], text: str, least: int = 4) -> DataFrame:
+    """Keys of the values of at least `least` words that are strict prefixes of another value, whose last word may be cut.
+
+    Fixed-length prefixes are all words but the last and the first letter of that. Of the values that share one, the
+    last word must begin the word that stands there in the longer value, and not end it too. A word that others follow
+    has a blank at its end.
+    """
+    names = [key] if isinstance(key, str) else key
+
+    def lasts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for row, value in zip(batch["row"].tolist(), batch["text"].tolist()):
+            for i, value in enumerate(batch["text"].tolist()):
                 ws = words(value)
-                if len(ws) < least:
+                if not ws or len(ws) < least:
                     continue
                 h = 0
+                for w in ws[:-1]:
+                    h = _key(h, w)
+                out += [(i, _key(h, w[0]), w) for w in readings(value, ws[-1])]
+            found = pd.DataFrame(out, columns=["at", "prefix", "word"])
+            yield pd.concat([batch[names].take(found["at"].astype("int64")).reset_index(drop=True), found[["prefix", "word"]]], axis=1)
+
+    def steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = set()
+            for value in batch["text"].tolist():
+                ws, h = words(value), 0
                 for k, w in enumerate(ws, 1):
-                    h = (h * 1_000_003 + code(w)) & 0xFFFFFFFFFFFFFFF
                     if k >= least:
-                        out.append((h, row if k == len(ws) else None, k == len(ws)))
-            yield pd.DataFrame(out, columns=["prefix", "row", "whole"])
-
-    given = df.select(F.col(key).alias("row"), F.col(text).alias("text")).filter("row is not null and text is not null")
-    rows = given.mapInPandas(hashes, "prefix bigint, row bigint, whole boolean")
-    longer = rows.filter(~F.col("whole")).select("prefix").distinct()
-    return rows.filter("whole").join(longer, "prefix", "left_semi").select(F.col("row").alias(key)).distinct()
+                        out.add((_key(h, w[0]), w if k == len(ws) else w + " "))
+                    h = _key(h, w)
+            yield pd.DataFrame(list(out), columns=["prefix", "word"])
+
+    given = df.select(*names, F.col(text).alias("text")).filter(" and ".join(f"{n} is not null" for n in [*names, "text"]))
+    kinds = ", ".join(f"{n} {kind}" for n, kind in given.select(names).dtypes)
+    ends = written(given.mapInPandas(lasts, f"{kinds}, prefix bigint, word string"))
+    longer = given.select("text").mapInPandas(steps, "prefix bigint, word string").repartition("prefix").distinct().withColumnRenamed("word", "there")
+    short = ends.select("prefix", "word").distinct().alias("short")
+    begun = short.join(longer.alias("longer"), F.expr("short.prefix = longer.prefix and startswith(longer.there, short.word) and longer.there <> short.word"), "left_semi")
+    return ends.join(begun, ["prefix", "word"], "left_semi").select(names).distinct()
 
 
 def truncation_rates(df: DataFrame, key: str, source: str, cut: DataFrame) -> DataFrame:
