@@ -74,3 +74,28 @@ def test_prefix_copies_query_takes_both_tables(spark, tmp_path):
     spark.createDataFrame([(1, "Мати пекла хл"), (2, "Ой, снігу")], "pair_id bigint, source string").write.parquet(f"{tmp_path}/parallel_pairs.parquet")
     spark.createDataFrame([(1, "Мати пекла хліб"), (2, "Ой"), (2, "Ой")], "record_id bigint, generated_dialect string").write.parquet(f"{tmp_path}/jsonl_corpus.parquet")
     assert sorted(map(tuple, p2_prefix_copies(spark, str(tmp_path)).collect())) == [("jsonl_corpus", 2), ("parallel_pairs", 1)]
+
+
+def test_long_texts_are_aligned_as_short_ones(monkeypatch):
+    import random
+
+    from tkanyna.llm import align
+
+    draw = random.Random(7)
+    some = ["не", "на", "до", "ні", "дід", "хата", "хат", "сорочка", "сорочку", "річка", "рі", "й"]
+    for _ in range(400):
+        a, b = draw.choices(some, k=draw.randint(1, 25)), draw.choices(some, k=draw.randint(1, 25))
+        assert walk(a, b) == reach(a, b)
+    monkeypatch.setattr(align, "CELLS", 0)
+    assert is_cut(SAID[:-20], WHOLE) and not is_cut(SAID, WHOLE)
+
+
+def test_long_cuts_with_inserted_words_are_found():
+    from tkanyna.llm.answers import defect, unlike
+
+    letters = "бвжзклмпрстфхцчшщ"
+    meant = [w for i in range(2000) for w in ([letters[i % 17] + "о" + letters[i // 17 % 17] + "а" + letters[i // 289] + "і"] + ["не"] * (i % 30 == 29))]
+    said = [*meant[:10], "не", *meant[10:1400]]
+    assert len(said) * len(meant) > 1_000_000
+    assert is_cut(" ".join(said), " ".join(meant)) and not is_cut(" ".join(said + meant[1400:]), " ".join(meant))
+    assert not unlike(meant, said) and defect(" ".join(meant), " ".join(said)) == "truncated"
