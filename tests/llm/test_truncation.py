@@ -99,3 +99,10 @@ def test_long_cuts_with_inserted_words_are_found():
     assert len(said) * len(meant) > 1_000_000
     assert is_cut(" ".join(said), " ".join(meant)) and not is_cut(" ".join(said + meant[1400:]), " ".join(meant))
     assert not unlike(meant, said) and defect(" ".join(meant), " ".join(said)) == "truncated"
+
+
+@pytest.mark.parametrize("said", ["Він не", "Він не прий", "Він н", "Він", "Гей, люди добрі, слухайте но мене уважно: він не прийшов до нас учора із с"])
+def test_short_cuts_and_long_leads_reach_the_alignment(said):
+    sentence = "Він не прийшов до нас учора із села"
+    assert is_cut(said, sentence) and not is_cut(said + ".", sentence)
+    assert not is_cut("Ми " + sentence, sentence) and not is_cut("Та де", sentence)

@@ -3,8 +3,8 @@
 Two uses of one self-join by prefix:
 
 * `cut_renderings` joins a rendering with the sentence of its own record (the join is on the record, so it needs no
-  shuffle). Words are hashed by their consonants; the hash of the fixed-length prefix of PREFIX words, tried at the
-  first SHIFTS places (a rendering may open with an interjection), picks the candidates, and an alignment decides:
+  shuffle). Words are hashed by their consonants; the hashes of the runs of 1 to PREFIX words from any place (a
+  rendering may open with a lead-in) and a last word that is cut pick the candidates, and an alignment decides:
   the rendering must cover a beginning of the sentence, end open, and lack the rest.
 * `prefix_copies` joins all values with each other: every value's hash of all its words but the last meets the hashes
   of the prefixes of all longer values, and its last word must begin the next word there. Prefix keys are distinct
@@ -28,17 +28,28 @@ from tkanyna.llm.words import ALIKE, TO_CYRILLIC, TO_LATIN, WORD, code, usual_fo
 from tkanyna.session import written
 
 PREFIX = 3
-SHIFTS = 6
 ENDED = re.compile(r"(?<![.…])[.!?][\s»”\")\]]*$")
 OPEN = frozenset("".join(ALIKE).lower())
 LEFTOVER = re.compile(r"<SEP>|^\s*\d+[.)]\s+")
 
 
 def prefix_hashes(ws: list[str]) -> set[int]:
-    """Hashes of the runs of PREFIX consonant skeletons, and of the skeletons alone, that start at the first SHIFTS places."""
-    folded = [fold(w) for w in ws[: SHIFTS + PREFIX]]
-    runs = {code(" ".join(folded[i : i + PREFIX])) for i in range(min(SHIFTS, len(folded)))}
-    return runs | {code(f) for f in folded[:SHIFTS] if len(f) > 2}
+    """Hashes of the runs of 1 to PREFIX consonant skeletons that start at any place."""
+    folded = [fold(w) for w in ws]
+    return {code(" ".join(folded[i : i + k])) for i in range(len(folded)) for k in range(1, min(PREFIX, len(folded) - i) + 1)}
+
+
+def shares_prefix(a: list[str], b: list[str]) -> bool:
+    """Whether a run of both is alike, or the last word of a, perhaps cut, begins a word of b."""
+    return not prefix_hashes(a).isdisjoint(prefix_hashes(b)) or any(begins(a[-1], w) for w in b)
+
+
+def telling(a: list[str], b: list[str]) -> bool:
+    """Whether one word of a that agrees with b says enough: it opens b, or has over two consonants, or letters if cut."""
+    known, opening = {fold(w) for w in b}, fold(b[0])
+    if any((f := fold(w)) == opening or len(f) > 2 and f in known for w in a):
+        return True
+    return begins(a[-1], b[0]) or len(a[-1]) > 2 and any(begins(a[-1], w) for w in b)
 
 
 def is_cut(rendering: str | None, sentence: str | None) -> bool:
@@ -49,10 +60,10 @@ def is_cut(rendering: str | None, sentence: str | None) -> bool:
     a, b = words(shown), words(sentence)
     if not a or not b or len(a) >= len(b) - 1 and alike(a[-1], b[-1]):
         return False
-    if not prefix_hashes(a) & prefix_hashes(b) and len(a) > 1:
+    if not shares_prefix(a, b):
         return False
     matches, end = reach(a, b)
-    if matches * 2 < len(a) or not matches:
+    if matches * 2 < len(a) or not matches or matches < len(a) == 2 and not telling(a, b):
         return False
     if end == len(b):
         return begins(a[-1], b[-1]) and not ENDED.search(usual_form(shown).rstrip())
