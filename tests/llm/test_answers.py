@@ -32,3 +32,14 @@ def test_containment_and_long_texts():
     assert shingle_containment("а б в г".split(), "х а б в г".split()) == 1.0 and shingle_containment([], ["а"]) == 0.0
     long = " ".join(f"слово{i}х" for i in range(20_000))
     assert defect(long, long) == "copy" and defect(long, long[:90_000]) == "truncated"
+
+
+def test_copies_behind_long_lead_ins():
+    prompt = "Поки Данило справді оцінив вовняну сорочку, Макар не побачив барвисту хустку біля села Смотарівка."
+    said = "Поки Данило справді оцінив вовнєну сорочку, Макар ни побачив барвисту хустку коло села Смотарівка."
+    lead = "Добрий день, шановні колеги, ось тут нижче подаю вам готову відповідь, яку ви просили:"
+    assert defect(prompt, f"{lead} {prompt}") == defect(prompt, f"{prompt} {lead}") == defect(prompt, f"{lead} {lead} {prompt}") == "copy"
+    assert defect(prompt, f"{prompt} {prompt} {prompt}") == "copy"
+    assert defect(prompt, f"{prompt} {said}") is None and defect(prompt, f"{prompt} {lead} {said}") is None
+    assert defect(prompt, f"Вибачте, але з огляду на наші правила та умови роботи я не можу перекласти речення «{prompt}»") == "refusal"
+    assert defect("Так", f"{lead} так") != "copy"

@@ -1,7 +1,7 @@
 """Prompt and response pairs whose response is no proper answer, each with one kind of defect.
 
 The first that holds counts: `empty` (null, or no letter or digit), `copy` (the prompt's words stand in the response
-as one run, behind at most LEAD words and before at most LEAD), `refusal`, `other_language`, `truncated`. Shingles of
+as one run, behind and before at most LEAD words, or more that don't render it again; more that decline make a refusal), `refusal`, `other_language`, `truncated`. Shingles of
 three words and the longest common subsequence (`reach`) tell whether the response renders its prompt; only one that
 doesn't can be a refusal or another language, so that a prompt that itself apologises is rendered without a defect.
 Refusals are aligned against templates, given as runs of words in several languages.
@@ -52,7 +52,7 @@ def shingle_containment(prompt: list[str], response: list[str], k: int = 3) -> f
 def run_at(prompt: list[str], response: list[str]) -> int:
     """Where the prompt stands in the response as one run of words, or -1."""
     n = len(prompt)
-    return next((i for i in range(len(response) - n + 1) if response[i : i + n] == prompt), -1) if n else -1
+    return next((i for i in range(len(response) - n + 1) if response[i] == prompt[0] and response[i : i + n] == prompt), -1) if n else -1
 
 
 def unlike(prompt: list[str], response: list[str]) -> bool:
@@ -80,15 +80,34 @@ def russian(ws: list[str]) -> bool:
     return bool(RUSSIAN.search(" ".join(ws))) and sum(bool(RUSSIAN.search(w)) for w in ws) * 4 > len(ws)
 
 
-def copied(prompt: list[str], response: list[str]) -> bool:
-    """Whether the response repeats the prompt word for word, with at most LEAD words before and after it."""
+def copied(prompt: list[str], response: list[str]) -> str | None:
+    """copy if the response repeats the prompt word for word, or refusal if it declines at length around it.
+
+    At most LEAD words before and after it are a lead-in. Of more words, all that is left over beside the prompt must
+    not render it again; a prompt too short for a shingle says nothing among so many.
+    """
     n, m = len(prompt), len(response)
-    if not n <= m <= n + 2 * LEAD or prompt[n // 2] not in response or prompt[0] not in response[: LEAD + 1]:
-        return False
-    if shingle_containment(prompt, response) < 1.0:
-        return False
+    if not 0 < n <= m or prompt[n // 2] not in response or shingle_containment(prompt, response) < 1.0:
+        return None
     at = run_at(prompt, response)
-    return 0 <= at <= LEAD and m - at - n <= LEAD
+    if at < 0:
+        return None
+    if at <= LEAD and m - at - n <= LEAD:
+        return "copy"
+    if n < 3:
+        return None
+    rest = []
+    while at >= 0:
+        rest, response = rest + response[:at], response[at + n :]
+        at = run_at(prompt, response)
+    rest += response
+    if not rest:
+        return "copy"
+    have = {fold(w) for w in rest}
+    again = sum(fold(w) in have for w in prompt) * 2 >= n or not unlike(prompt, rest)
+    if again:
+        return None
+    return "refusal" if PATTERN.search(" ".join(rest)) else "copy"
 
 
 def defect(prompt: str | None, response: str | None) -> str | None:
@@ -97,12 +116,12 @@ def defect(prompt: str | None, response: str | None) -> str | None:
     if not b:
         return "empty"
     a = words(prompt)
-    if a and copied(a, b):
-        return "copy"
+    if a and (kind := copied(a, b)):
+        return kind
     if LEFTOVER.search(response):
         b = words(LEFTOVER.sub(" ", response)) or b
-        if a and (copied(a, b) or LEFTOVER.search(prompt) and copied(words(LEFTOVER.sub(" ", prompt)) or a, b)):
-            return "copy"
+        if a and (kind := copied(a, b) or (copied(words(LEFTOVER.sub(" ", prompt)) or a, b) if LEFTOVER.search(prompt) else None)):
+            return kind
     known = {fold(w) for w in a}
     shared = sum(fold(w) in known for w in b) * 2 >= len(b)
     if shared and len(b) >= len(a) - 1 and alike(a[-1], b[-1]):
