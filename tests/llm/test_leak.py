@@ -59,3 +59,13 @@ def test_empty_tables(spark):
     assert leaks(d.limit(0), i, "doc_id", "text", "item_id", "text").count() == 0
     assert leaks(d, i.limit(0), "doc_id", "text", "item_id", "text").count() == 0
     assert without_leaks(d, i.limit(0), "doc_id", "text", "item_id", "text").count() == 8
+
+
+def test_cleaning_of_texts_that_grow_in_lower_case(spark):
+    item = [f"слово{chr(0x430 + k)}" for k in range(12)]
+    rows = [(1, f"İİ перед, {' '.join(item)}; після İ кінець і ще кілька слів, щоб було їх більше ніж уривок сам має їх тут."), (2, f"Перед {' '.join(item)}! " + "інше слово " * 7 + "İ")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, " ".join(item))], "item_id bigint, text string")
+    assert leaks(docs, items, "doc_id", "text", "item_id", "text").count() == 2
+    clean = {r.doc_id: r.text for r in without_leaks(docs, items, "doc_id", "text", "item_id", "text").collect()}
+    assert clean == {1: rows[0][1].replace(" ".join(item), ""), 2: rows[1][1].replace(" ".join(item), "")}

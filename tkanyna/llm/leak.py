@@ -166,8 +166,12 @@ def without_leaks(documents: DataFrame, items: DataFrame, doc_key: str, doc_text
                     out.append(text)
                     continue
                 shown = usual_form(text).replace("\u0301", "")
-                places = [m.span() for m in WORD.finditer(shown.lower())] if len(shown.lower()) == len(shown) else []
-                ws = [shown[s:e].lower() for s, e in places]
+                lowered = shown.lower()
+                found = list(WORD.finditer(lowered))
+                ws, places = [m.group() for m in found], [m.span() for m in found]
+                if len(lowered) != len(shown):  # a letter that is two in lower case
+                    origin = [i for i, c in enumerate(shown) for _ in c.lower()]
+                    places = [(origin[s], origin[e - 1] + 1) for s, e in places]
                 gone: set[int] = set()
                 for a in automata:
                     for s, e in a.value.held(ws)[1]:
