@@ -1,4 +1,5 @@
-from tkanyna.llm.lookalike import Trie, is_plain, open_tokens, shape, stacked, usual_values
+from tkanyna.llm import lookalike
+from tkanyna.llm.lookalike import Trie, is_plain, open_tokens, shape, stacked, usual_values, with_usual
 
 
 def values(spark, rows):
@@ -26,6 +27,31 @@ def test_vocabulary_decides_where_letters_leave_it_open(spark):
     assert trie.spelling("cop") == "cop"
 
 
+def test_the_trie_reads_letters_that_no_table_lists(spark, monkeypatch):
+    given = ["стара калина", "стара калина", "голуба калинка", "кɑлина", "стɑра", "Sтаровина", "Старовина", "кօлօда", "колода", "малɑ", "WEBінар", "ɑвто", "авто", "автҫ"]
+    rows = [row(i, v) for i, v in enumerate(given)]
+    want = {3: "калина", 4: "стара", 5: "Старовина", 11: "авто"}
+    want.pop(11)  # too short for the others to tell
+    for most in (lookalike.MOST, 0):
+        monkeypatch.setattr(lookalike, "MOST", most)
+        got = {r.row_id: r.usual for r in usual_values(values(spark, rows).repartition(3), ["tbl", "row_id", "field"]).collect()}
+        assert got == want
+        every = {r.row_id: r.usual for r in with_usual(values(spark, [*rows, row(99, None)]), ["tbl", "row_id", "field"]).collect()}
+        assert every == {i: want.get(i, v) for i, v in enumerate(given)} | {99: None}
+
+
+def test_costs():
+    trie = Trie()
+    for word, n in (("калина", 2), ("калита", 9), ("канина", 7)):
+        trie.add(word, n)
+    assert trie.spelling("калиɑа") == "калита" and trie.spelling("кaлина") == "калина" and trie.spelling("кɑлиɑа") is None and trie.spelling("калица") is None
+
+
+def test_many_open_words_in_one_value(spark):
+    value = " ".join(f"дло{chr(0x430 + i % 32)}{chr(0x430 + i // 32)}wо" for i in range(1000))
+    assert usual_values(values(spark, [row(1, value), row(2, value.replace("w", "в"))]), ["tbl", "row_id", "field"]).first().usual == value.replace("w", "в")
+
+
 def test_ties_go_to_the_first_in_order():
     trie = Trie()
     trie.add("cop", 2)

@@ -44,3 +44,13 @@ ALPHABET = "абвіїйиуКСОРХІ'’`-— .,°²№XIVCMaopcxyiUSe1２ 
 def test_the_usual_form_is_its_own(text):
     usual = usual_form(text)
     assert usual_form(usual) == usual and words(usual) == words(text)
+
+
+def test_letters_are_composed_beside_a_stress_mark():
+    assert usual_form("за́мок рёвом") == "за́мок рёвом" and words("за́мок рёвом") == ["замок", "рёвом"]
+    assert usual_form("café") == "café" and usual_form("зáмок") == "за́мок" and usual_form("зáмок") == "за́мок"
+
+
+def test_shapes_come_from_unicode_properties():
+    assert usual_form("𝐚𝐛𝐜 ﬁn x\u0085y z") == "abc fin x y z"
+    assert usual_form("12 м², 5 µm, № 3, ª ½⁦…⁩") == "12 м², 5 µm, № 3, ª ½…"

@@ -65,9 +65,8 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_values(spark: SparkSession, folder: str) -> DataFrame:
     """Every value, in the usual form."""
-    values = _values(spark, folder)
-    changed = lookalike.usual_values(values, ["tbl", "row_id", "field"]).drop("value")
-    return values.join(changed, ["tbl", "row_id", "field"], "left").select("tbl", "row_id", "field", F.coalesce("usual", "value").alias("value"), F.col("usual").isNotNull().alias("changed"))
+    every = lookalike.with_usual(_values(spark, folder), ["tbl", "row_id", "field"])
+    return every.select("tbl", "row_id", "field", F.col("usual").alias("value"), F.coalesce(F.col("usual") != F.col("value"), F.lit(False)).alias("changed"))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:

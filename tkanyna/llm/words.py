@@ -19,20 +19,50 @@ CYRILLIC = "асеіорхуАВСЕНІКМОРТХї"
 GREEK = "αιορχυκΑΒΕΗΙΚΜΟΡΤΧ"
 GREEK_CYRILLIC = "аіорхукАВЕНІКМОРТХ"
 GREEK_LATIN = "aiopxykABEHIKMOPTX"
-# Spaces that are not U+0020, characters without a shape, and marks used as an apostrophe.
-SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
-INVISIBLE = "\u00ad\u034f\u061c\u180e\u200b\u200c\u200d\u200e\u200f\u2060\u2061\u2062\u2063\u2064\ufeff\ufe0e\ufe0f"
+# Marks used as an apostrophe, and characters without a shape that Unicode counts as letters or marks.
 APOSTROPHES = "\u2019\u2018\u02bc\u02b9`\u00b4\u2032\u201b"
+BLANKS = "\u034f\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u180f\u3164\uffa0"
+# Format characters that are seen.
+SEEN_FORMATS = "\u0600\u0601\u0602\u0603\u0604\u0605\u06dd\u070f\u0890\u0891\u08e2"
+STRESS = "\u0301"
 
 TO_CYRILLIC = str.maketrans(LATIN + GREEK, CYRILLIC + GREEK_CYRILLIC)
 TO_LATIN = str.maketrans(CYRILLIC + GREEK, LATIN + GREEK_LATIN)
-SHAPES = (
-    {ord(c): " " for c in SPACES}
-    | {ord(c): None for c in INVISIBLE}
-    | {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)}
-    | {0x2010: "-", 0x2011: "-"}
-)
-COMPOSED = (("и\u0306", "й"), ("И\u0306", "Й"), ("і\u0308", "ї"), ("І\u0308", "Ї"), ("i\u0308", "ї"), ("I\u0308", "Ї"))
+#: Latin letters with an acute, as a look-alike and a stress mark.
+STRESSED = {ord(unicodedata.normalize("NFC", c + STRESS)): c + STRESS for c in "aeioyAEIO"}
+
+
+def invisible(char: str) -> bool:
+    """Whether a character has no shape: format characters, variation selectors, fillers."""
+    code = ord(char)
+    return unicodedata.category(char) == "Cf" and char not in SEEN_FORMATS and code < 0x10000 or char in BLANKS or 0xFE00 <= code <= 0xFE0F or 0xE0000 <= code <= 0xE01EF
+
+
+class Shapes(dict):
+    """What each character looks like, worked out from its Unicode properties when it is first met.
+
+    Spaces of any kind are U+0020, invisible characters nothing; letters and digits that are wide, narrow, of a
+    mathematical font or a ligature are what they stand for. Superscripts, signs and the micro sign stay.
+    """
+
+    def __missing__(self, code: int) -> int | str | None:
+        char = chr(code)
+        kind, parts = unicodedata.category(char), unicodedata.decomposition(char)
+        if kind == "Zs" or code in (0x85, 0x2028, 0x2029):
+            found = " "
+        elif invisible(char):
+            found = None
+        elif code in (0x2010, 0x2011):
+            found = "-"
+        elif parts.startswith(("<wide>", "<narrow>")) or kind[0] in "LN" and code != 0xB5 and parts.startswith(("<font>", "<compat>")) and kind != "No":
+            found = unicodedata.normalize("NFKC", char)
+        else:
+            found = code
+        self[code] = found
+        return found
+
+
+SHAPES = Shapes()
 
 #: Values made of these characters only are in the usual form, but for Cyrillic words that stand for Latin ones.
 PLAIN = re.compile(r"[ \t\n\rа-щьюяА-ЩЬЮЯіїєґІЇЄҐыэъёЫЭЪЁ0-9.,!?:;'\"«»“”„()\[\]—–…№²\u0301-]*")
@@ -44,6 +74,7 @@ ROMAN = re.compile(r"(?=[IVXLCDM])M{0,3}(?:C[MD]|D?C{0,3})(?:X[CL]|L?X{0,3})(?:I
 ONLY_CYRILLIC = re.compile(f"[^{CYRILLIC}\\W\\d_]")
 CYRILLIC_ONLY = re.compile(f"[\u0400-\u052f](?<![{CYRILLIC}])")
 LATIN_ONLY = re.compile(f"[a-zA-Z](?<![{LATIN}])")
+LATIN_ACUTE = re.compile("[A-Za-z\u00c0-\u024f]\u0301")
 ALIKE = frozenset(LATIN + CYRILLIC + GREEK)
 
 
@@ -58,11 +89,15 @@ def script_of(char: str) -> str:
 
 
 def composed(text: str) -> str:
-    """Letters in one character; a stress mark stays a character of its own."""
-    for parts, whole in COMPOSED:
-        if parts in text:
-            text = text.replace(parts, whole)
-    return text if "\u0301" in text else unicodedata.normalize("NFC", text)
+    """Letters in one character; a stress mark stays a character of its own, but for Latin words (see `usual_form`)."""
+    if STRESS in text:
+        return STRESS.join(unicodedata.normalize("NFC", part) for part in text.split(STRESS))
+    return unicodedata.normalize("NFC", text)
+
+
+def accented(text: str) -> str:
+    """With Latin letters and an acute in one character."""
+    return LATIN_ACUTE.sub(lambda m: unicodedata.normalize("NFC", m.group()), text) if STRESS in text else text
 
 
 def shaped(text: str) -> str:
@@ -85,6 +120,10 @@ def alphabet(token: str, before: str = "", latin_beside: bool = False) -> tuple[
             return roman, False
         return token, False
     cyrillic, latin = ("C", False) in kinds, ("L", False) in kinds
+    if "" in scripts:  # a letter of no known alphabet
+        return (token.translate(TO_CYRILLIC) if cyrillic and not latin else token), cyrillic
+    if cyrillic and latin and (plain := token.translate(STRESSED)) != token:
+        return alphabet(plain, before, latin_beside)
     if cyrillic and not latin:
         return token.translate(TO_CYRILLIC), False
     if latin and not cyrillic:
@@ -130,7 +169,9 @@ def usual_form(text: str | None, spelling: dict[str, str] | None = None) -> str
         if fixed != token:
             out += [text[at:start], fixed]
             at = m.end()
-    return APOSTROPHE.sub("'", composed("".join([*out, text[at:]]))) if out else text
+    if out:
+        text = APOSTROPHE.sub("'", composed("".join([*out, text[at:]])))
+    return accented(text)
 
 
 def words(text: str | None) -> list[str]:
