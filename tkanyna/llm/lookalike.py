@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.broadcast import Broadcast
@@ -119,16 +120,23 @@ def is_plain(token: str) -> bool:
     return ({k for k, _ in kinds} == {"C"}) or (("L", False) in kinds and {k for k, _ in kinds} == {"L"})
 
 
+@lru_cache(maxsize=100_000)
+def one_alphabet(token: str) -> bool:
+    """Whether all letters of a word are Cyrillic, or Latin with one that no other alphabet has."""
+    scripts = {script_of(c) for c in token if c.isalpha()}
+    return scripts <= {"C"} or scripts == {"L"} and any(c.isalpha() and c not in ALIKE for c in token)
+
+
 def open_tokens(text: str) -> list[str]:
-    """The words of a value that the automaton is to spell: their own letters leave the alphabet open, mix alphabets, or belong to none."""
+    """The words of a value that the automaton is to spell: their letters leave the alphabet open, mix alphabets, or belong to none."""
     out = []
     text = shaped(text)
     for m in TOKEN.finditer(text):
         token = m.group()
-        scripts = {script_of(c) for c in token if c.isalpha()}
-        if scripts <= {"C"} or scripts == {"L"} and any(c.isalpha() and c not in ALIKE for c in token):
+        if one_alphabet(token):
             continue
-        if alphabet(token, text[m.start() - 1] if m.start() else "")[1]:
+        fixed, unsure = alphabet(token, "°" if (start := m.start()) and text[start - 1] == "°" else "")
+        if unsure or fixed != token:
             out.append(token)
     return out
 

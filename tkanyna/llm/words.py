@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 import xxhash
 
@@ -105,6 +106,7 @@ def shaped(text: str) -> str:
     return APOSTROPHE.sub("'", composed(text.translate(SHAPES)))
 
 
+@lru_cache(maxsize=100_000)
 def alphabet(token: str, before: str = "", latin_beside: bool = False) -> tuple[str, bool]:
     """The token in the alphabet its letters call for, and whether they leave that open.
 
@@ -150,7 +152,7 @@ def _beside_latin(text: str, found: list[re.Match], k: int) -> bool:
 
 
 def usual_form(text: str | None, spelling: dict[str, str] | None = None) -> str | None:
-    """The value as it is usually written. spelling: canonical spellings of tokens whose letters leave the alphabet open."""
+    """The value as it is usually written. spelling: canonical spellings of odd words, which go before the table."""
     if not text or _settled(text):
         return text
     text = shaped(text)
@@ -163,8 +165,9 @@ def usual_form(text: str | None, spelling: dict[str, str] | None = None) -> str
         token, start = m.group(), m.start()
         if ONLY_CYRILLIC.search(token) and PLAIN.fullmatch(token):
             continue
-        fixed, unsure = alphabet(token, text[start - 1] if start else "", latin_text or _beside_latin(text, found, k))
-        if unsure and spelling:
+        beside = latin_text or _beside_latin(text, found, k)
+        fixed, unsure = alphabet(token, "°" if start and text[start - 1] == "°" else "", beside)
+        if spelling and (unsure or fixed != token and not beside):
             fixed = spelling.get(token, fixed)
         if fixed != token:
             out += [text[at:start], fixed]
