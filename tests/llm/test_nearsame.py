@@ -4,7 +4,7 @@ import pytest
 from tests_llm_noise import noisy
 from tkanyna.llm import nearsame
 from tkanyna.llm.components import components
-from tkanyna.llm.nearsame import BKTree, near_same_groups, near_same_pairs, word_set
+from tkanyna.llm.nearsame import Forest, keys_of, near_same_groups, near_same_pairs, word_set
 
 
 def brute(rows):
@@ -38,7 +38,7 @@ def test_as_brute_force(spark, seed):
 def test_hot_keys_and_pairs_of_words(spark, monkeypatch):
     monkeypatch.setattr(nearsame, "RARE", 3)
     monkeypatch.setattr(nearsame, "BLOCK", 6)
-    monkeypatch.setattr(nearsame, "LEAF", 2)
+    monkeypatch.setattr(nearsame, "VISITS", 5)
     rows = noisy(3)
     assert pairs(spark, rows) == brute(rows)
 
@@ -86,16 +86,44 @@ def test_groups(spark):
     assert got == {k: (find(k), sum(k in p for p in links)) for k, _ in rows}
 
 
-def test_tree_finds_what_a_scan_finds():
+@pytest.mark.parametrize("visits", [7, 400_000])
+def test_trees_find_what_a_scan_finds(monkeypatch, visits):
+    monkeypatch.setattr(nearsame, "VISITS", visits)
     rng = np.random.default_rng(1)
     bits = rng.integers(0, 2**63, (400, 2), dtype=np.uint64) & rng.integers(0, 2**63, (400, 2), dtype=np.uint64)
     bits[200:] = bits[:200] ^ (np.uint64(1) << rng.integers(0, 63, (200, 1), dtype=np.uint64))
     bits[390:] = bits[0]
-    n = rng.integers(8, 30, 400)
-    a, b = BKTree(bits, n).pairs()
-    i, j = np.triu_indices(400, 1)
-    keep = nearsame.near(bits, n, i, j)
-    assert set(zip(a.tolist(), b.tolist())) == set(zip(i[keep].tolist(), j[keep].tolist()))
+    n, group = rng.integers(8, 30, 400), np.sort(rng.integers(0, 3, 400))
+    forest = Forest(group, bits)
+    asked = rng.permutation(400)[:300]
+    got = [(int(q), int(r)) for qs, rows in forest.search(group[asked], bits[asked], n[asked]) for q, r in zip(asked[qs], rows)]
+    d = np.bitwise_count(bits[:, None] ^ bits[None]).sum(axis=2)
+    want = {(int(q), r) for q in asked for r in range(400) if group[q] == group[r] and d[q, r] <= nearsame.radius(n[q])}
+    assert set(got) == want and len(got) == len(want)
+    assert not list(forest.search(np.array([9]), bits[:1], n[:1]))
+    # edges: a child's distance to its parent, in order, and each row in one node
+    assert sorted(forest.member.tolist()) == list(range(400)) and int((forest.end - forest.begin).sum()) == 400
+    for node in range(len(forest.bits)):
+        for edge in range(forest.width - 1):
+            for child in range(forest.first[node, edge], forest.first[node, edge + 1]):
+                assert int(np.bitwise_count(forest.bits[child] ^ forest.bits[node]).sum()) == edge
+
+
+def test_near_same_sets_have_a_key_in_common():
+    rng = np.random.default_rng(2)
+    words = rng.integers(0, 2**63, 60, dtype=np.uint64)
+    counts = np.zeros(nearsame.SLOTS, np.int64)
+    counts[words & np.uint64(nearsame.SLOTS - 1)] = rng.integers(1, 1000, 60)
+    kinds = set()
+    for _ in range(2000):
+        a = rng.permutation(60)[: rng.integers(8, 20)]
+        b = np.unique(np.r_[rng.permutation(a)[: len(a) - rng.integers(0, 3)], rng.integers(0, 60, rng.integers(0, 3))])
+        common = len(np.intersect1d(a, b))
+        if len(b) >= 8 and 10 * common >= 7 * (len(a) + len(b) - common):
+            keys = [{tuple(x[list(k)].tolist()) for k in keys_of(words[x], counts, 1000, 30)} for x in (a, b)]
+            assert keys[0] & keys[1]
+            kinds |= {len(k) for k in keys[0]}
+    assert len(kinds) > 2
 
 
 def test_components_of_a_chain_and_a_star(spark):

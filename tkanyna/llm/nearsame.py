@@ -3,13 +3,18 @@
 Two texts are near-same if both have at least 8 distinct words and share at least 70 % of all their distinct words.
 Rows with one word set form a class; only classes are compared. Words are ordered by rarity, taken from counts in a
 table of fixed size (any common order keeps the result exact). Near-same sets then share their first common word among
-the first n - ceil(0.7 n) + 1 words, and two words among one more. A class has the key of each rare word of that
-prefix, and of each pair of its frequent words, so no key serves a word that a large part of the corpus has. Keys with
-very many classes are split into blocks that meet in cells, each a task's worth of work; no row is dropped.
-
-Two sets that differ in k words have bitmaps that differ in at most k bits. Within a key, a BK-tree over the bitmaps
-(children keyed by the integer Hamming distance to their parent) is searched along the edges within the radius that
-the sizes allow; the exact check follows. Null, blank and short texts are near-same to nothing.
+the first n - ceil(0.7 n) + 1 words, and each further one among one more. A key is a run of words of that prefix, made
+longer, up to DEEP words, until the counts let expect few classes to have it; whether a run is long enough depends on
+its words only, so two near-same sets always have a key in common.
+
+A class goes to the shard of each of its keys. A shard is a BK-tree over 128-bit bitmaps of word sets (children keyed by
+the integer Hamming distance to their parent): two sets that differ in k words have bitmaps that differ in at most k
+bits, so a search follows only edges within the radius that the sizes allow. The trees of all shards of a batch are built
+and searched together, a level at a time, and candidates leave in pieces; the exact check follows.
+
+Keys are counted before they are moved. One that more than BLOCK classes have is split into blocks that meet in cells, a
+block in a tree of its own and the other searching it; no row is dropped. Null, blank and short texts are near-same to
+nothing.
 """
 
 from __future__ import annotations
@@ -22,7 +27,6 @@ import xxhash
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tkanyna.llm.components import components
 from tkanyna.llm.words import code, words
@@ -31,10 +35,11 @@ from tkanyna.session import written
 MIN_WORDS = 8
 TENTHS = 7  # of all distinct words, that many tenths occur in both
 SLOTS = 1 << 18  # counts of words, whatever the size of the corpus
-RARE = 4000  # a word in more classes than this serves only in pairs of words
-BLOCK = 10_000  # classes of one key that one task compares
-LEAF = 128
-GRID = 1_000_000  # pairs of a leaf that are compared at once
+RARE = 4000  # classes that may be expected to have a key, or a SHARE of all, if that is more
+SHARE = 20_000
+DEEP = 4  # words of a key
+BLOCK = 10_000  # classes of one key that one tree holds
+VISITS = 400_000  # steps of searches that are taken at once
 LONG = 120  # distinct words; a longer text has keys of single words only, so that pairs of its words don't multiply
 
 
@@ -77,17 +82,30 @@ def prefix_length(n: int) -> int:
     return n - -(-TENTHS * n // 10) + 1
 
 
-def keys_of(codes: np.ndarray, counts: np.ndarray) -> list[tuple[int, int]]:
-    """Places of the words of each key of a class, rarest first; the second is -1 for a single word."""
+def rare_enough(total: int) -> float:
+    return max(RARE, total / SHARE)
+
+
+def keys_of(codes: np.ndarray, counts: np.ndarray, total: int, enough: float) -> list[tuple[int, ...]]:
+    """Places of the words of each key of a class, rarest first. total: how many classes there are; enough: how many may have a key."""
     n = len(codes)
     often = counts[codes & np.uint64(SLOTS - 1)]
-    order = np.lexsort((codes, often))
+    order = np.lexsort((codes, often)).tolist()
     p = prefix_length(n)
-    rare = int(np.searchsorted(often[order], RARE, "right"))
-    single = p if 10 * n > TENTHS * LONG else min(p, rare)  # sets that may be near-same to one of more than LONG words, too
-    keys = [(int(order[i]), -1) for i in range(single)]
+    share = (often[order[: min(n, p + DEEP)]] / max(1, total)).tolist()
+    keys: list[tuple[int, ...]] = []
     if n <= LONG:
-        keys += [(int(order[i]), int(order[j])) for i in range(rare, p) for j in range(i + 1, min(p + 1, n))]
+        todo = [((), float(total), 0)]
+        while todo:
+            run, most, start = todo.pop()
+            for i in range(start, min(n, p + len(run))):
+                longer, fewer = (*run, order[i]), most * share[i]
+                if fewer <= enough or len(longer) == DEEP:
+                    keys.append(longer)
+                else:
+                    todo.append((longer, fewer, i + 1))
+    if 10 * n > TENTHS * LONG:  # may be near-same to a set of more than LONG words, which has single words only
+        keys += [(i,) for i in order[:p] if (i,) not in keys]
     return keys
 
 
@@ -102,53 +120,75 @@ def bitmap(codes: np.ndarray) -> tuple[int, int]:
     return low, high
 
 
-def keyed(classes: DataFrame, counts: Broadcast, column: str, carry: list[str] = []) -> DataFrame:  # noqa: B006
-    """A row for each key of each class: key, passage (its words), id, bits, n, and the columns carried."""
-    fields = [classes.schema[c] for c in carry]
-    kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in fields)
+def coded(sets: list[list[str]], known: dict[str, int]) -> np.ndarray:
+    """The codes of all words of the sets, in one array."""
+    out = []
+    for ws in sets:
+        for w in ws:
+            if (c := known.get(w)) is None:
+                if len(known) > 500_000:
+                    known.clear()
+                c = known[w] = code(w)
+            out.append(c)
+    return np.array(out, np.uint64)
+
+
+def bitmaps(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """128 bits of each set of words, two numbers a set; the sets begin at starts."""
+    bit = (codes >> np.uint64(40)) & np.uint64(127)
+    one = np.uint64(1) << (bit & np.uint64(63))
+    low, high = np.where(bit < 64, one, np.uint64(0)), np.where(bit < 64, np.uint64(0), one)
+    return np.stack([np.bitwise_or.reduceat(low, starts), np.bitwise_or.reduceat(high, starts)], axis=1)
+
+
+KEYS = "key bigint, id bigint, low bigint, high bigint, n int, side int"
+
+
+def keyed(classes: DataFrame, counts: Broadcast, column: str, total: int, sides: list[str] = []) -> DataFrame:  # noqa: B006
+    """A row for each key of each class: key, id, its bitmap (low, high), its size n, and its side.
+
+    sides: two boolean columns; a class has rows with side 1 and 2 where they hold. Without them, side is 0.
+    """
+
+    enough = rare_enough(total)
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table, known = counts.value, {}
         for batch in batches:
-            out: list[tuple] = []
-            for row in batch.itertuples(index=False):
-                ws = getattr(row, column).split(" ")
-                cs = []
-                for w in ws:
-                    if (c := known.get(w)) is None:
-                        if len(known) > 500_000:
-                            known.clear()
-                        c = known[w] = code(w)
-                    cs.append(c)
-                codes = np.array(cs, np.uint64)
-                low, high = bitmap(codes)
-                rest = tuple(getattr(row, c) for c in carry)
-                for a, b in keys_of(codes, table):
-                    passage = ws[a] if b < 0 else f"{ws[a]} {ws[b]}"
-                    out.append((code(passage), passage, row.id, low, high, len(ws), *rest))
-            frame = pd.DataFrame(out, columns=["key", "passage", "id", "low", "high", "n", *carry])
-            for c in ("key", "low", "high"):
-                frame[c] = frame[c].astype("uint64").to_numpy().astype(np.int64)
-            yield frame
-
-    return classes.select("id", column, *carry).mapInPandas(make, f"key bigint, passage string, id bigint, low bigint, high bigint, n int{kinds}")
-
-
-def cells(keys: DataFrame, left: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """The rows of keys with one cell each, and those of hot keys, copied to the cells of their block.
-
-    left: which rows are on the left of a two-sided comparison; None for all pairs among the rows of a key.
-    """
-    counted = keys.withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("many > 1")
+            if not len(batch):
+                continue
+            sets = [v.split(" ") for v in batch[column].tolist()]
+            flat = coded(sets, known)
+            n = np.fromiter(map(len, sets), np.int64, len(sets))
+            starts = np.cumsum(n) - n
+            bits = bitmaps(flat, starts)
+            keys, rows = [], []
+            for i, (s, k) in enumerate(zip(starts.tolist(), n.tolist())):
+                found = keys_of(flat[s : s + k], table, total, enough)
+                keys += [code(" ".join([sets[i][j] for j in key])) for key in found]
+                rows += [i] * len(found)
+            rows = np.array(rows, np.int64)
+            frame = pd.DataFrame({"key": np.array(keys, np.uint64).astype(np.int64), "id": batch["id"].to_numpy()[rows], "low": bits[rows, 0].astype(np.int64), "high": bits[rows, 1].astype(np.int64), "n": n[rows].astype(np.int32)})
+            if not sides:
+                yield frame.assign(side=np.int32(0))
+            for side, name in enumerate(sides, 1):
+                yield frame[batch[name].to_numpy(bool)[rows]].assign(side=np.int32(side))
+
+    return classes.select("id", column, *sides).mapInPandas(make, KEYS)
+
+
+def cells(keys: DataFrame) -> DataFrame:
+    """The rows of written keys, those of hot keys in the cells of their blocks; a cell of two blocks has sides 1 and 2."""
+    hot = keys.groupBy("key").agg(F.count(F.lit(1)).alias("many")).filter(F.col("many") > BLOCK)
     blocks = F.ceil(F.col("many") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    both = keys.join(hot, "key", "left").withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int"))
     every = F.sequence(F.lit(0), blocks - 1)
-    if left is None:
-        cell = F.transform(every, lambda j: F.struct(F.least(block, j).alias("i"), F.greatest(block, j).alias("j")))
-    else:
-        cell = F.when(left, F.transform(every, lambda j: F.struct(block.alias("i"), j.alias("j")))).otherwise(F.transform(every, lambda i: F.struct(i.alias("i"), block.alias("j"))))
-    hot = counted.filter(F.col("many") > BLOCK).withColumn("own", block).withColumn("cell", F.explode(cell)).withColumn("key", F.xxhash64("key", "cell.i", "cell.j")).drop("many", "cell")
-    return counted.filter(F.col("many") <= BLOCK).drop("many"), hot.drop("own")
+    within = F.transform(every, lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j"), F.when(F.col("own") == j, 0).when(F.col("own") < j, 1).otherwise(2).alias("side")))
+    across = F.transform(every, lambda j: F.struct(F.when(F.col("side") == 1, F.col("own")).otherwise(j).alias("i"), F.when(F.col("side") == 1, j).otherwise(F.col("own")).alias("j"), F.col("side").alias("side")))
+    cold = F.array(F.struct(F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.col("side").alias("side")))
+    cell = F.explode(F.when(F.col("many").isNull(), cold).when(F.col("side") == 0, within).otherwise(across))
+    spread = both.select("key", "id", "low", "high", "n", cell.alias("cell"))
+    return spread.select(F.when(F.col("cell.i") < 0, F.col("key")).otherwise(F.xxhash64("key", "cell.i", "cell.j")).alias("key"), "id", "low", "high", "n", F.col("cell.side").alias("side"))
 
 
 def radius(n: np.ndarray) -> np.ndarray:
@@ -156,131 +196,130 @@ def radius(n: np.ndarray) -> np.ndarray:
     return (10 - TENTHS) * (n + 10 * n // TENTHS) // (10 + TENTHS)
 
 
-def near(bits: np.ndarray, n: np.ndarray, one: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Whether the bitmaps at the places one and other differ in no more bits than near-same sets may."""
-    d = np.bitwise_count(bits[one] ^ bits[other]).sum(axis=-1, dtype=np.int64)
-    return d * (10 + TENTHS) <= (10 - TENTHS) * (n[one] + n[other])
-
-
-class BKTree:
-    """A BK-tree over bitmaps, searched for many queries at once.
+class Forest:
+    """BK-trees over bitmaps, one for each group, built and searched together.
 
-    A node is its place, and its children by distance; a leaf is an array of places.
+    A node is a bitmap of its group, and `first[k, d]` to `first[k, d + 1]` are its children at distance d; nodes are
+    numbered so that the children of a node stand together, ordered by distance. Rows with equal bitmaps share a node.
     """
 
-    def __init__(self, bits: np.ndarray, n: np.ndarray):
-        self.bits, self.n = bits, n
-        self.low, self.high = np.ascontiguousarray(bits[:, 0]), np.ascontiguousarray(bits[:, 1])
-        most = 2 * int(n.max(initial=0)) + 1
-        self.limit = np.minimum((10 - TENTHS) * np.arange(most) // (10 + TENTHS), 128).astype(np.uint8)
-        self.root = self._build(np.arange(len(n)))
-
-    def _distance(self, places: np.ndarray, to: int) -> np.ndarray:
-        return np.bitwise_count(self.bits[places] ^ self.bits[to]).sum(axis=1, dtype=np.int64)
-
-    def _leaf(self, queries: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of a query and a place behind it within what their sizes allow."""
-        d = np.bitwise_count(self.low[queries][:, None] ^ self.low[places])
-        d += np.bitwise_count(self.high[queries][:, None] ^ self.high[places])
-        close = d <= self.limit[self.n[queries][:, None] + self.n[places]]
-        i, j = np.nonzero(close)
-        a, b = queries[i], places[j]
-        keep = a < b
-        return a[keep], b[keep]
-
-    def _build(self, places: np.ndarray):
-        top: dict[int, object] = {}
-        todo = [(places, top, 0)]
+    def __init__(self, group: np.ndarray, bits: np.ndarray):
+        order = np.lexsort((bits[:, 1], bits[:, 0], group))
+        g, b = group[order], bits[order]
+        new = np.r_[True, (g[1:] != g[:-1]) | (b[1:] != b[:-1]).any(axis=1)]
+        own = np.flatnonzero(new)
+        member = order  # the rows of each bitmap, together
+        begin, end = own, np.r_[own[1:], len(g)]
+        g, b = g[own], b[own]
+        # a level at a time: the head of each part is a node, and the rest of it parts by the distance to its head
+        part = np.cumsum(np.r_[True, g[1:] != g[:-1]]) - 1
+        self.root = {int(k): i for i, k in enumerate(g[np.r_[True, g[1:] != g[:-1]]].tolist())}
+        active, heads, edges, parents = np.arange(len(g)), [], [], []
+        edge = np.zeros(part[-1] + 1, np.int64)
+        parent = np.full(part[-1] + 1, -1, np.int64)
+        done = 0
+        while len(active):
+            head = np.r_[True, part[1:] != part[:-1]]
+            at = np.cumsum(head) - 1
+            heads.append(active[head])
+            edges.append(edge)
+            parents.append(parent)
+            rest, up = active[~head], at[~head]
+            d = np.bitwise_count(b[rest] ^ b[active[head]][up]).sum(axis=1, dtype=np.int64)
+            turn = np.lexsort((d, up))
+            active, up, d = rest[turn], up[turn], d[turn]
+            if len(active):
+                fresh = np.r_[True, (up[1:] != up[:-1]) | (d[1:] != d[:-1])]
+                part = np.cumsum(fresh) - 1
+                edge, parent = d[fresh], up[fresh] + done
+            done += int(head.sum())
+        node = np.concatenate(heads)
+        self.bits = b[node]
+        self.member, self.begin, self.end = member, begin[node], end[node]
+        parent, edge = np.concatenate(parents), np.concatenate(edges)
+        width = int(edge.max(initial=0)) + 2
+        kids = parent >= 0
+        many = np.bincount(parent[kids] * width + edge[kids] + 1, minlength=len(node) * width).reshape(len(node), width)
+        start = np.cumsum(many.sum(axis=1)) - many.sum(axis=1) + int((~kids).sum())
+        self.first = start[:, None] + np.cumsum(many, axis=1)
+        self.width = width
+
+    def search(self, group: np.ndarray, bits: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query, row) within the radius of the query's size, in pieces; the queries look into the tree of their group."""
+        reach = radius(n)
+        root = np.array([self.root.get(k, -1) for k in group.tolist()], np.int64)
+        asked = np.flatnonzero(root >= 0)
+        todo = [(asked[i : i + VISITS], root[asked[i : i + VISITS]]) for i in range(0, len(asked), VISITS)]
         while todo:
-            part, parent, edge = todo.pop()
-            if len(part) <= LEAF:
-                parent[edge] = part
-                continue
-            first, rest = int(part[0]), part[1:]
-            children: dict[int, object] = {}
-            parent[edge] = (first, children)
-            d = self._distance(rest, first)
-            order = np.argsort(d, kind="stable")
-            for group in np.split(order, np.flatnonzero(np.diff(d[order])) + 1):
-                k = int(d[group[0]])
-                if k == 0:
-                    children[0] = rest[group]  # one bitmap: a leaf, however many they are
-                else:
-                    todo.append((rest[group], children, k))
-        return top[0]
-
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """Places (a < b) whose distance is within what their sizes allow."""
-        reach = radius(self.n)
-        left, right = [], []
-        todo = [(self.root, np.arange(len(self.n)))]
-        while todo:
-            node, queries = todo.pop()
-            if isinstance(node, np.ndarray):
-                step = max(1, GRID // max(1, len(node)))
-                for k in range(0, len(queries), step):
-                    a, b = self._leaf(queries[k : k + step], node)
-                    left.append(a)
-                    right.append(b)
-                continue
-            top, children = node
-            d = self._distance(queries, top)
-            hit = queries[(d <= reach[queries]) & (queries != top)]
-            hit = hit[near(self.bits, self.n, hit, np.full(len(hit), top))]
-            left.append(np.minimum(hit, top))
-            right.append(np.maximum(hit, top))
-            for k, child in children.items():
-                follow = queries[np.abs(d - k) <= reach[queries]]
-                if len(follow):
-                    todo.append((child, follow))
-        a, b = np.concatenate(left), np.concatenate(right)
-        unique = np.unique(a * len(self.n) + b)
-        return unique // len(self.n), unique % len(self.n)
-
-
-def _tree_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Candidate pairs of classes, from rows sorted by key; a bucket of one key is held at a time."""
-
-    def search(frame: pd.DataFrame) -> pd.DataFrame:
-        key = frame["key"].to_numpy()
-        ids = frame["id"].to_numpy(np.int64)
-        bits = np.stack([frame["low"].to_numpy(), frame["high"].to_numpy()], axis=1).astype(np.uint64)
-        n = frame["n"].to_numpy(np.int64)
-        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        ends = np.r_[starts[1:], len(key)]
-        ones, others = [], []
-        for s, e in zip(starts.tolist(), ends.tolist()):
-            if e - s < 2:
+            q, node = todo.pop()
+            d = np.bitwise_count(bits[q] ^ self.bits[node]).sum(axis=1, dtype=np.int64)
+            r = reach[q]
+            hit = d <= r
+            many = (self.end - self.begin)[node[hit]]
+            for piece in pieces(many, VISITS):
+                yield np.repeat(q[hit][piece], many[piece]), self.member[ranges(self.begin[node[hit][piece]], many[piece])]
+            lo, hi = self.first[node, np.clip(d - r, 0, self.width - 1)], self.first[node, np.clip(d + r + 1, 0, self.width - 1)]
+            many = hi - lo
+            for piece in pieces(many, VISITS):
+                if many[piece].any():
+                    todo.append((np.repeat(q[piece], many[piece]), ranges(lo[piece], many[piece])))
+
+
+def pieces(many: np.ndarray, most: int) -> list[slice]:
+    """Slices of about `most` in sum each."""
+    total = np.cumsum(many)
+    cuts = np.flatnonzero(np.diff(total // most)) + 1
+    return [slice(a, b) for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(many)]) if b > a]
+
+
+def ranges(start: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, one after another."""
+    return np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(start, many)
+
+
+def _search(rows: pd.DataFrame, ordered: bool) -> Iterator[pd.DataFrame]:
+    """Pairs (a, b) of rows of one key: a < b, or if ordered, a of side 1. Sides 1 and 2 only meet each other."""
+    group, ids, n, side = (rows[c].to_numpy() for c in ("key", "id", "n", "side"))
+    n = n.astype(np.int64)
+    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    size = np.diff(np.r_[starts, len(group)])
+    alone = np.repeat(size == 1, size)
+    if alone.all():
+        return
+    group, ids, n, side = (x[~alone] for x in (group, ids, n, side))
+    bits = np.stack([rows["low"].to_numpy()[~alone], rows["high"].to_numpy()[~alone]], axis=1).view(np.uint64)
+    held, asks = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
+    if not len(held) or not len(asks):
+        return
+    forest = Forest(group[held], bits[held])
+    for q, row in forest.search(group[asks], bits[asks], n[asks]):
+        a, b = held[row], asks[q]
+        d = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
+        keep = (d * (10 + TENTHS) <= (10 - TENTHS) * (n[a] + n[b])) & ((side[a] != 0) & (ids[a] != ids[b]) | (ids[a] < ids[b]) & (side[a] == 0))
+        if keep.any():
+            a, b = a[keep], b[keep]
+            found = np.stack([ids[a], ids[b]], axis=1)
+            found = np.unique(found if ordered else np.sort(found, axis=1), axis=0)
+            yield pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
+
+
+def tree_candidates(keys: DataFrame, ordered: bool = False) -> DataFrame:
+    """Distinct candidate pairs of classes that share a key and lie within the radius. keys: written rows of `keyed`."""
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: list[pd.DataFrame] = []
+        for batch in batches:
+            if not len(batch):
                 continue
-            a, b = BKTree(bits[s:e], n[s:e]).pairs()
-            ones.append(a + s)
-            others.append(b + s)
-        if not ones:
-            return pd.DataFrame({"a": [], "b": []})
-        a, b = ids[np.concatenate(ones)], ids[np.concatenate(others)]
-        found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-        found = found[found[:, 0] < found[:, 1]]
-        return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
-
-    kept: list[pd.DataFrame] = []
-    for batch in batches:
-        if not len(batch):
-            continue
-        rows = pd.concat([*kept, batch], ignore_index=True) if kept else batch
-        last = rows["key"].to_numpy() == rows["key"].iloc[-1]
-        kept = [rows[last]]
-        if not last.all():
-            yield search(rows[~last])
-    if kept:
-        yield search(kept[0])
-
-
-def tree_candidates(keys: DataFrame) -> DataFrame:
-    """Distinct candidate pairs (a < b) of classes that share a key and lie within the radius."""
-    few, hot = cells(keys.select("key", "id", "low", "high", "n"))
-    found = few.sortWithinPartitions("key").mapInPandas(_tree_pairs, "a bigint, b bigint")
-    split = hot.repartition("key").sortWithinPartitions("key").mapInPandas(_tree_pairs, "a bigint, b bigint")
-    return found.unionByName(split).distinct()
+            rows = pd.concat([*kept, batch], ignore_index=True) if kept else batch
+            last = rows["key"].to_numpy() == rows["key"].iloc[-1]
+            kept = [rows[last]]
+            if not last.all():
+                yield from _search(rows[~last], ordered)
+        if kept:
+            yield from _search(kept[0], ordered)
+
+    return cells(keys).repartition("key").sortWithinPartitions("key").mapInPandas(search, "a bigint, b bigint").distinct()
 
 
 def shares_enough(one: str, other: str) -> Column:
@@ -306,7 +345,7 @@ def near_same_classes(df: DataFrame, key: str, text: str) -> tuple[DataFrame, Da
     rows = written(given.mapInPandas(sets, "row bigint, cls binary, words string"))
     classes = written(rows.groupBy("cls").agg(F.min("row").alias("id"), F.first("words").alias("words")))
     counts = word_counts(df.sparkSession, classes, "words")
-    pairs = tree_candidates(keyed(classes, counts, "words"))
+    pairs = tree_candidates(written(keyed(classes, counts, "words", classes.count())))
     one = classes.select(F.col("id").alias("a"), F.col("words").alias("words_a"))
     other = classes.select(F.col("id").alias("b"), F.col("words").alias("words_b"))
     members = rows.select("row", "cls").distinct().join(classes.select("cls", "id"), "cls").select("row", "id")

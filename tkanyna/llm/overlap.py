@@ -1,95 +1,161 @@
 """Records of evaluation splits that also stand, exactly or nearly, in the training split.
 
-Both fields of a record must be near-same. The passages of an evaluation record are the keys of its second field (its
-rare words, and pairs of its frequent ones), each normalised to what a reader sees. Passages are sharded by hash; each
-shard builds an Aho-Corasick automaton over its evaluation passages and scans with it the training records' normalised
-passages routed to it. The matched intervals give the evaluation records a training text may cover; bitmaps drop those
-whose sizes and letters rule out enough coverage, and the exact check on both fields follows.
+Evaluation records are split into shards of at most SHARD; the passages of a shard, runs of words of its records, form
+an Aho-Corasick automaton, which is broadcast and scans all training texts where they stand, a shard after another.
+
+* `cross_split_hits` finds the records whose two fields are both near-same to those of a training record. Near-same asks
+  for the same words in any order, so records are normalised to their distinct words in a fixed order. Near-same records
+  of n and m words differ in D words at most (`differing`), and each of these breaks one of D + 1 runs that a record is
+  cut into, so that one run at least stands whole in the other text: the passages are the runs of every D that a record
+  may need. Matched passages give pairs of records whose sizes ask for that very D; bitmaps drop most pairs, and the
+  exact check on the words of both fields follows in place.
+* `coverage` scans the texts as they run, by passages of RUN words, and merges the matched intervals of all training
+  texts into the covered share of each evaluation record, whole or piecewise.
+
+Beyond PASSES shards the records meet by keys instead (`nearsame.keyed`, with BK-trees of evaluation records that the
+training records search), with the same result. Evaluation records with equal words are one; training copies are
+scanned each.
 
 Null or short fields overlap with nothing. A split that is null or unknown counts as evaluation: only `train` trains.
+Rows given twice count once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
-import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tkanyna.llm.nearsame import TENTHS, cells, class_key, keyed, shares_enough, word_counts, word_set
+from tkanyna.llm.nearsame import MIN_WORDS, TENTHS, bitmaps, class_key, coded, keyed, pieces, ranges, shares_enough, tree_candidates, word_counts, word_set
+from tkanyna.llm.passages import LETTER, PassageAutomaton, letters
+from tkanyna.llm.words import words
 from tkanyna.session import written
 
-SPAN = 2_000_000  # matches that are compared at once
-SIZES = 1 << 20  # sizes of sets that are told apart
+SHARD = 100_000  # evaluation records, or passages of running text, in one automaton
+PASSES = 12  # scans of all training texts
+CUTS = 40  # distinct words; a longer record is cut for the largest number of differing words only
+SPAN = 1_000_000  # matches that are compared at once
+RUN = 5
 
 
-def _bits(rows: pd.DataFrame) -> np.ndarray:
-    return np.stack([rows["low"].to_numpy(), rows["high"].to_numpy()], axis=1).astype(np.uint64)
+def differing(n: np.ndarray | int, m: np.ndarray | int) -> np.ndarray | int:
+    """In how many words near-same sets of n and m words differ at most."""
+    return n + m - 2 * -(-TENTHS * (n + m) // (10 + TENTHS))
 
 
-class PassageAutomaton:
-    """An Aho-Corasick automaton over the evaluation passages of a shard, and the records that have each of them.
+def runs(n: int, cuts: int) -> list[int]:
+    """Into how many runs a record of n words is to be cut, for every size of a near-same one; 0: beyond cuts, for all at once."""
+    if n > cuts:
+        return [0]
+    return sorted({differing(n, m) + 1 for m in range(max(MIN_WORDS, -(-TENTHS * n // 10)), 10 * n // TENTHS + 1)})
 
-    rows: place (the passage, delimited by nothing of its own), id, bits and size n of a record. The records of a
-    passage stand together, in the order of their sizes.
-    """
 
-    def __init__(self, rows: pd.DataFrame):
-        rows = rows.sort_values(["place", "n"], kind="stable", ignore_index=True)
-        place = rows["place"].to_numpy()
-        new = np.r_[True, place[1:] != place[:-1]]
-        self.ids, self.n, self.bits = rows["id"].to_numpy(np.int64), rows["n"].to_numpy(np.int64), _bits(rows)
-        self.rank = (np.cumsum(new) - 1) * SIZES + np.minimum(self.n, SIZES - 1)
-        self.automaton = ahocorasick.Automaton()
-        for k, passage in enumerate(place[new].tolist()):
-            self.automaton.add_word(f"|{passage}|", k)
-        self.automaton.make_automaton()
-
-    def intervals(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(text, passage) of each matched interval of the texts, which are scanned as one."""
-        matches = list(self.automaton.iter(f"|{'|'.join(texts)}|"))
-        if not matches:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        end, passage = np.array(matches, np.int64).T
-        return np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), end, "left"), passage
-
-    def candidates(self, rows: pd.DataFrame) -> pd.DataFrame:
-        """(a, b): evaluation and training records that share a passage and whose sizes and bits allow enough coverage."""
-        text, passage = self.intervals(rows["place"].tolist())
-        n, ids, bits = rows["n"].to_numpy(np.int64), rows["id"].to_numpy(np.int64), _bits(rows)
-        least, most = -(-TENTHS * n[text] // 10), 10 * n[text] // TENTHS
-        start = np.searchsorted(self.rank, passage * SIZES + np.minimum(least, SIZES - 1), "left")
-        many = np.searchsorted(self.rank, passage * SIZES + np.minimum(most, SIZES - 1), "right") - start
+def cut(n: int, k: int) -> list[tuple[int, int]]:
+    """The ends of k runs of about equal length."""
+    k = k or (10 - TENTHS) * n // TENTHS + 1
+    return [(i * n // k, (i + 1) * n // k) for i in range(k)]
+
+
+@lru_cache(maxsize=4096)
+def sizes(m: int, cuts: int) -> tuple[tuple[int, int, int], ...]:
+    """(k, least, most): the sizes of records whose cut into k runs a text of m words may meet."""
+    found: dict[int, list[int]] = {}
+    for n in range(max(MIN_WORDS, -(-TENTHS * m // 10)), 10 * m // TENTHS + 1):
+        found.setdefault(differing(n, m) + 1 if n <= cuts else 0, []).append(n)
+    return tuple((k, min(v), max(v)) for k, v in found.items())
+
+
+class Shard:
+    """Evaluation records (ids, words of both fields), the automaton over their passages, and who has each of them."""
+
+    def __init__(self, ids: list[int], one: list[str], other: list[str]):
+        self.cuts = CUTS
+        self.ids, self.one, self.other = np.array(ids, np.int64), one, other
+        sets = [t.split(" ") for t in other]
+        codes = coded(sets, {})
+        self.n = np.fromiter(map(len, sets), np.int64, len(sets))
+        start = np.cumsum(self.n) - self.n
+        self.bits = bitmaps(codes, start) if len(sets) else np.zeros((0, 2), np.uint64)
+        flat = (codes & np.uint64(LETTER)).astype(np.int64)
+        begin, size, held, kind = [], [], [], []
+        for n in np.unique(self.n).tolist():
+            own = np.flatnonzero(self.n == n)
+            for k in runs(n, CUTS):
+                for a, b in cut(n, k):
+                    begin.append(start[own] + a)
+                    size.append(np.full(len(own), b - a))
+                    held.append(own)
+                    kind.append(np.full(len(own), k))
+        begin, size, held, kind = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (begin, size, held, kind))
+        width = int(size.max(initial=1))
+        place = np.arange(width)
+        table = np.where(place < size[:, None], flat[np.minimum(begin[:, None] + place, max(0, len(flat) - 1))] if len(flat) else 0, -1)
+        table, number = np.unique(table, axis=0, return_inverse=True) if len(table) else (table, np.zeros(0, np.int64))
+        self.automaton = PassageAutomaton(np.maximum(table, 0), (table >= 0).sum(axis=1))
+        rank = self.rank(number.ravel(), kind, self.n[held])
+        order = np.argsort(rank, kind="stable")
+        self.ranks, self.held = rank[order], held[order].astype(np.int32)
+
+    @staticmethod
+    def rank(passage: np.ndarray, kind: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return (passage.astype(np.int64) << 34) | (kind << 26) | np.minimum(n, (1 << 26) - 1)
+
+    def pairs(self, flat: np.ndarray, m: np.ndarray, bits: np.ndarray) -> np.ndarray:
+        """(record, text) that share a passage, and whose sizes and bitmaps allow that they are near-same."""
+        groups = [sizes(k, self.cuts) for k in m.tolist()]
+        many = np.fromiter(map(len, groups), np.int64, len(groups))
+        table = np.array([x for g in groups for x in g], np.int64).reshape(-1, 3)
+        first = np.cumsum(many) - many
         found = [np.zeros((0, 2), np.int64)]
-        for part in np.split(np.arange(len(text)), np.flatnonzero(np.diff(np.cumsum(many) // SPAN)) + 1):
-            width = many[part]
-            within = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
-            a, b = np.repeat(start[part], width) + within, np.repeat(text[part], width)
-            differ = np.bitwise_count(self.bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
-            keep = (differ * (10 + TENTHS) <= (10 - TENTHS) * (self.n[a] + n[b])) & (self.ids[a] != ids[b])
-            found.append(np.unique(np.stack([self.ids[a[keep]], ids[b[keep]]], axis=1), axis=0))
-        pairs = np.concatenate(found)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-
-def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Candidates of one shard, whose evaluation rows come before its training rows."""
-    held: list[pd.DataFrame] = []
-    automaton = None
-    for batch in batches:
-        trains = batch["train"].to_numpy(bool)
-        if not trains.all():
-            held.append(batch[~trains])
-        if trains.any() and held:
-            automaton = automaton or PassageAutomaton(pd.concat(held, ignore_index=True))
-            yield automaton.candidates(batch[trains])
-
-
-def cross_split_classes(df: DataFrame, key: str, fields: tuple[str, str], split: str, train: str = "train") -> tuple[DataFrame, DataFrame]:
-    """Members (row, train, id), and the near-same pairs (a, b) of evaluation and training classes, equal ones included."""
+        for text, _, passage in self.automaton.intervals(flat, m):
+            width = many[text]
+            row = ranges(first[text], width)
+            text, passage = np.repeat(text, width), np.repeat(passage, width)
+            k, least, most = table[row].T
+            low = np.searchsorted(self.ranks, self.rank(passage, k, least), "left")
+            count = np.searchsorted(self.ranks, self.rank(passage, k, most), "right") - low
+            for part in pieces(count, SPAN):
+                a = self.held[ranges(low[part], count[part])]
+                b, kind = np.repeat(text[part], count[part]), np.repeat(k[part], count[part])
+                both = self.n[a] + m[b]
+                keep = (kind == 0) | (kind == differing(self.n[a], m[b]) + 1)
+                keep &= np.bitwise_count(self.bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64) * (10 + TENTHS) <= (10 - TENTHS) * both
+                found.append(np.stack([a[keep], b[keep]], axis=1))
+        return np.unique(np.concatenate(found), axis=0)
+
+    def hits(self, one: list[str], other: list[str], known: dict[str, int]) -> list[tuple[int, int]]:
+        """(record id, text) of the near-same ones, by an exact check of both fields."""
+        sets = [t.split(" ") for t in other]
+        codes = coded(sets, known)
+        m = np.fromiter(map(len, sets), np.int64, len(sets))
+        flat = (codes & np.uint64(LETTER)).astype(np.int64)
+        out = []
+        for a, b in self.pairs(flat, m, bitmaps(codes, np.cumsum(m) - m)).tolist():
+            if enough(self.other[a], other[b]) and enough(self.one[a], one[b]):
+                out.append((int(self.ids[a]), b))
+        return out
+
+
+@lru_cache(maxsize=20_000)
+def _set(joined: str) -> frozenset[str]:
+    return frozenset(joined.split(" "))
+
+
+def enough(a: str, b: str) -> bool:
+    """Whether two sets of words, each joined by blanks, are near-same."""
+    if a == b:
+        return True
+    x, y = _set(a), _set(b)
+    common = len(x & y)
+    return common * 10 >= TENTHS * (len(x) + len(y) - common)
+
+
+def _word_rows(df: DataFrame, key: str, fields: tuple[str, str], split: str, train: str) -> DataFrame:
+    """(row, train, cls, one, other) of the rows whose two fields have enough words: those, distinct and in order."""
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -100,60 +166,148 @@ def cross_split_classes(df: DataFrame, key: str, fields: tuple[str, str], split:
             yield frame[frame["cls"].notna()]
 
     given = df.select(F.col(key).alias("row"), F.coalesce(F.col(split) == train, F.lit(False)).alias("train"), F.col(fields[0]).alias("one"), F.col(fields[1]).alias("other"))
-    rows = written(given.filter("row is not null and one is not null and other is not null").mapInPandas(sets, "row bigint, train boolean, cls binary, one string, other string"))
-    classes = written(rows.groupBy("cls").agg(F.min("row").alias("id"), F.first("one").alias("one"), F.first("other").alias("other"), F.bool_or("train").alias("trains"), F.bool_or(~F.col("train")).alias("tests")))
-    counts = word_counts(df.sparkSession, classes, "other")
-    keys = keyed(classes, counts, "other", ["trains", "tests"])
-    sides = keys.withColumn("train", F.explode(F.filter(F.array(F.when(F.col("tests"), F.lit(False)), F.when(F.col("trains"), F.lit(True))), lambda x: x.isNotNull()))).drop("trains", "tests")
-    few, hot = cells(sides, ~F.col("train"))
-    few = few.select(F.col("passage").alias("place"), "id", "low", "high", "n", "train").sortWithinPartitions("train")
-    hot = hot.repartition("key").select(F.concat_ws(" ", "passage", F.col("key").cast("string")).alias("place"), "id", "low", "high", "n", "train").sortWithinPartitions("train")
-    found = few.mapInPandas(_scan, "a bigint, b bigint").unionByName(hot.mapInPandas(_scan, "a bigint, b bigint")).distinct()
-    one = classes.filter("tests").select(F.col("id").alias("a"), F.col("one").alias("one_a"), F.col("other").alias("other_a"))
-    other = classes.filter("trains").select(F.col("id").alias("b"), F.col("one").alias("one_b"), F.col("other").alias("other_b"))
-    edited = found.join(one, "a").join(other, "b").filter(shares_enough("other_a", "other_b") & shares_enough("one_a", "one_b")).select("a", "b")
-    equal = classes.filter("trains and tests").select(F.col("id").alias("a"), F.col("id").alias("b"))
-    members = rows.select("row", "train", "cls").distinct().join(classes.select("cls", "id"), "cls").select("row", "train", "id")
-    return members, edited.unionByName(equal)
+    return written(given.filter("row is not null and one is not null and other is not null").mapInPandas(sets, "row bigint, train boolean, cls binary, one string, other string"))
 
 
-def cross_split_pairs(df: DataFrame, key: str, fields: tuple[str, str], split: str, train: str = "train") -> DataFrame:
-    """Every pair (test_row, train_row) of an evaluation and a training row whose two fields are both near-same.
+def _sharded(rows: DataFrame, shards: int) -> Iterator[pd.DataFrame]:
+    """The rows of each shard, at most twice SHARD of them, fetched one shard at a time."""
+    placed = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
+    for shard in range(shards):
+        part = placed.filter(F.col("shard") == shard).drop("shard").limit(2 * SHARD + 1).toPandas()
+        if len(part) > 2 * SHARD:
+            raise RuntimeError(f"a shard has more than {2 * SHARD} records")
+        yield part
+
 
-    Rows given twice count once.
+def cross_split_hits(df: DataFrame, key: str, fields: tuple[str, str], split: str, train: str = "train") -> tuple[DataFrame, DataFrame]:
+    """Members (row, id) of the evaluation rows with enough words, and hits (id, train_row) of near-same training rows.
+
+    The id is the least key of the evaluation rows with the same words.
     """
-    members, pairs = cross_split_classes(df, key, fields, split, train)
-    tests = members.filter(~F.col("train")).select(F.col("row").alias("test_row"), F.col("id").alias("a"))
-    trains = members.filter("train").select(F.col("row").alias("train_row"), F.col("id").alias("b"))
-    return pairs.join(tests, "a").join(trains, "b").select("test_row", "train_row").distinct()
+    spark = df.sparkSession
+    rows = _word_rows(df, key, fields, split, train)
+    tests = rows.filter(~F.col("train"))
+    classes = written(tests.groupBy("cls").agg(F.min("row").alias("id"), F.first("one").alias("one"), F.first("other").alias("other")))
+    members = tests.select("row", "cls").distinct().join(classes.select("cls", "id"), "cls").select("row", "id")
+    shards = -(-classes.count() // SHARD)
+    if shards > PASSES:
+        return members, _hits_by_keys(rows.filter("train"), classes)
+    found = None
+    for part in _sharded(classes.select("id", "one", "other"), shards):
+        shard = spark.sparkContext.broadcast(Shard(part["id"].tolist(), part["one"].tolist(), part["other"].tolist()))
 
+        def scan(batches: Iterator[pd.DataFrame], shard=shard) -> Iterator[pd.DataFrame]:
+            known: dict[str, int] = {}
+            for batch in batches:
+                if len(batch):
+                    own = batch["row"].tolist()
+                    hits = shard.value.hits(batch["one"].tolist(), batch["other"].tolist(), known)
+                    yield pd.DataFrame([(a, own[b]) for a, b in hits], columns=["id", "train_row"])
 
-def coverage(df: DataFrame, key: str, fields: tuple[str, str], split: str, train: str = "train") -> DataFrame:
-    """(key, train_rows, covered) of each evaluation row that overlaps: the share of its second field's words that the
-    near-same training rows hold, matched words of all of them merged."""
-    members, pairs = cross_split_classes(df, key, fields, split, train)
-    pairs = written(pairs)
+        hits = rows.filter("train").select("row", "one", "other").mapInPandas(scan, "id bigint, train_row bigint")
+        found = hits if found is None else found.unionByName(hits)
+    return members, spark.createDataFrame([], "id bigint, train_row bigint") if found is None else found.distinct()
 
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "words": [" ".join(word_set(t)) for t in batch["text"].tolist()]})
 
-    texts = df.select(F.col(key).alias("id"), F.col(fields[1]).alias("text")).join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id")
-    words = written(texts.mapInPandas(sets, "id bigint, words string"))
-    one = words.select(F.col("id").alias("a"), F.split("words", " ").alias("own"))
-    other = words.select(F.col("id").alias("b"), F.split("words", " ").alias("theirs"))
-    held = pairs.join(one, "a").join(other, "b").select("a", F.size("own").alias("n"), F.explode(F.array_intersect("own", "theirs")).alias("word")).groupBy("a", "n", "word").count()
-    share = held.groupBy("a", "n").agg(F.count(F.lit(1)).alias("hit")).select(F.col("a").alias("id"), F.round(F.col("hit") / F.col("n"), 6).alias("covered"))
-    copies = members.filter("train").groupBy("id").agg(F.count(F.lit(1)).alias("copies")).withColumnRenamed("id", "b")
-    many = pairs.join(copies, "b").groupBy("a").agg(F.sum("copies").alias("train_rows")).withColumnRenamed("a", "id")
-    return members.filter(~F.col("train")).join(share, "id").join(many, "id").select(F.col("row").alias(key), "train_rows", "covered")
+def _hits_by_keys(trains: DataFrame, classes: DataFrame) -> DataFrame:
+    """The hits, by keys that evaluation and training records share."""
+    copies = trains.groupBy("cls").agg(F.min("row").alias("train_id"), F.first("one").alias("one"), F.first("other").alias("other"))
+    # an evaluation record is a class of its own beside the training one with the same words
+    both = written(classes.select(F.col("id"), "one", "other", F.lit(True).alias("tests"), F.lit(False).alias("trains")).unionByName(copies.select(F.col("train_id").alias("id"), "one", "other", F.lit(False).alias("tests"), F.lit(True).alias("trains"))))
+    counts = word_counts(trains.sparkSession, both, "other")
+    pairs = tree_candidates(written(keyed(both, counts, "other", both.count(), ["tests", "trains"])), ordered=True)
+    one = both.filter("tests").select(F.col("id").alias("a"), F.col("one").alias("one_a"), F.col("other").alias("other_a"))
+    other = both.filter("trains").select(F.col("id").alias("b"), F.col("one").alias("one_b"), F.col("other").alias("other_b"))
+    near = pairs.join(one, "a").join(other, "b").filter(shares_enough("other_a", "other_b") & shares_enough("one_a", "one_b")).select(F.col("a").alias("id"), "b")
+    rows = trains.select("row", "cls").distinct().join(copies.select("cls", F.col("train_id").alias("b")), "cls")
+    return near.join(rows, "b").select("id", F.col("row").alias("train_row"))
+
+
+def cross_split_pairs(df: DataFrame, key: str, fields: tuple[str, str], split: str, train: str = "train") -> DataFrame:
+    """Every pair (test_row, train_row) of an evaluation and a training row whose two fields are both near-same."""
+    members, hits = cross_split_hits(df, key, fields, split, train)
+    return hits.join(members.withColumnRenamed("row", "test_row"), "id").select("test_row", "train_row").distinct()
 
 
 def overlap_report(df: DataFrame, key: str, fields: tuple[str, str], split: str, origin: str) -> DataFrame:
     """Per evaluation split and origin: its rows, those that overlap with training, and the training rows concerned."""
-    members, pairs = cross_split_classes(df, key, fields, split)
-    trained = members.filter("train").groupBy("id").agg(F.count(F.lit(1)).alias("copies"))
-    covered = pairs.join(trained.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.sum("copies").alias("train_rows"))
-    rows = members.filter(~F.col("train")).join(covered.withColumnRenamed("a", "id"), "id").select(F.col("row").alias(key), "train_rows")
+    members, hits = cross_split_hits(df, key, fields, split)
+    rows = members.join(hits.groupBy("id").agg(F.count(F.lit(1)).alias("train_rows")), "id").select(F.col("row").alias(key), "train_rows")
     tests = df.filter(~F.coalesce(F.col(split) == "train", F.lit(False))).select(key, split, origin)
     return tests.join(rows, key, "left").groupBy(split, origin).agg(F.count(F.lit(1)).alias("rows"), F.count("train_rows").alias("overlapping"), F.coalesce(F.sum("train_rows"), F.lit(0)).alias("train_matches"))
+
+
+WORDS = [f"w{i}" for i in range(RUN)]
+
+
+def _running(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows with the passages of RUN words of `text`: id (a hash of it), at, and its letters."""
+    kinds = "".join(f", {c} {df.schema[c].dataType.simpleString()}" for c in columns)
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            sets = [words(t) for t in batch["text"].tolist()]
+            flat, n = letters(sets, known), np.fromiter(map(len, sets), np.int64, len(sets))
+            many = np.maximum(n - RUN + 1, 0)
+            place = ranges(np.cumsum(n) - n, many)
+            out = pd.DataFrame({w: flat[place + i] for i, w in enumerate(WORDS)})
+            row = np.repeat(np.arange(len(n)), many)
+            out["at"] = ranges(np.zeros(len(n), np.int64), many).astype(np.int32)
+            out["n"] = n[row].astype(np.int32)
+            for c in columns:
+                out[c] = batch[c].to_numpy()[row]
+            yield out
+
+    made = df.mapInPandas(spread, ", ".join(f"{w} bigint" for w in WORDS) + f", at int, n int{kinds}")
+    return made.withColumn("id", F.xxhash64(*WORDS))
+
+
+def coverage(df: DataFrame, key: str, fields: tuple[str, str], split: str, train: str = "train") -> DataFrame:
+    """(key, field, words, covered) of each field of an evaluation row that shares RUN words in a row with training texts.
+
+    covered: the share of its words that lie in the matched intervals of all training texts, merged. Passages are those
+    of the same field. A text of fewer than RUN words has no row.
+    """
+    spark = df.sparkSession
+    tests = ~F.coalesce(F.col(split) == train, F.lit(False))
+    stacked = df.filter(F.col(key).isNotNull()).select(F.col(key).alias("row"), tests.alias("tests"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])).alias("x"))
+    given = stacked.select("row", "tests", "x.field", "x.text").filter("text is not null")
+    passages = written(_running(given.filter("tests"), ["row", "field"]))
+    distinct = written(passages.select("id", *WORDS).distinct())
+    trains = given.filter("not tests")
+    shards, hit = -(-distinct.count() // (8 * SHARD)), None
+    if shards > PASSES:
+        hit = _running(trains, ["field"]).select("field", "id").distinct()
+    else:
+        for part in _sharded_passages(distinct, shards):
+            table = part[WORDS].to_numpy(np.int64)
+            shard = spark.sparkContext.broadcast((part["id"].to_numpy(), PassageAutomaton(table, np.full(len(table), RUN))))
+
+            def scan(batches: Iterator[pd.DataFrame], shard=shard) -> Iterator[pd.DataFrame]:
+                ids, automaton = shard.value
+                known: dict[str, int] = {}
+                seen: dict[str, np.ndarray] = {}
+                for batch in batches:
+                    field = batch["field"].to_numpy()
+                    for name in np.unique(field):
+                        sets = [words(t) for t in batch["text"][field == name].tolist()]
+                        matched = seen.setdefault(name, np.zeros(len(ids), bool))
+                        for _, _, passage in automaton.intervals(letters(sets, known), np.fromiter(map(len, sets), np.int64, len(sets))):
+                            matched[passage] = True
+                for name, matched in seen.items():
+                    yield pd.DataFrame({"field": name, "id": ids[matched]})
+
+            found = trains.select("field", "text").mapInPandas(scan, "field string, id bigint")
+            hit = found if hit is None else hit.unionByName(found)
+    if hit is None:
+        hit = spark.createDataFrame([], "field string, id bigint")
+    covered = passages.join(hit.distinct(), ["field", "id"], "left_semi").groupBy("row", "field").agg(F.max("n").alias("words"), F.collect_set("at").alias("places"))
+    merged = F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + (RUN - 1))))))
+    return covered.select(F.col("row").alias(key), "field", "words", F.round(merged / F.col("words"), 6).alias("covered"))
+
+
+def _sharded_passages(distinct: DataFrame, shards: int) -> Iterator[pd.DataFrame]:
+    placed = distinct.dropDuplicates(["id"]).withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
+    for shard in range(shards):
+        yield placed.filter(F.col("shard") == shard).drop("shard").toPandas()
