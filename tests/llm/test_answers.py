@@ -1,6 +1,7 @@
 import pytest
 
-from tkanyna.llm.answers import defect, defects, shingle_containment
+from tkanyna.llm.answers import common, declines, defect, defects, shingle_containment
+from tkanyna.llm.words import words
 
 PROMPT = "Поки Данило справді оцінив вовняну сорочку, Макар не побачив барвисту хустку біля села Смотарівка."
 ANSWER = "Поки Данило справді оцінив вовнєну сорочку, Макар ни побачив барвисту хустку коло села Смотарівка."
@@ -43,3 +44,63 @@ def test_copies_behind_long_lead_ins():
     assert defect(prompt, f"{prompt} {said}") is None and defect(prompt, f"{prompt} {lead} {said}") is None
     assert defect(prompt, f"Вибачте, але з огляду на наші правила та умови роботи я не можу перекласти речення «{prompt}»") == "refusal"
     assert defect("Так", f"{lead} так") != "copy"
+
+
+HELD_OUT = """Вибачте, але цей текст я перекладати відмовлюся
+Таке прохання суперечить моїм принципам і правилам роботи
+На жаль, виконати таке прохання мені не дозволяють правила.
+Я утримаюся від перекладу цього речення.
+Цей запит виходить за межі моїх можливостей.
+Я змушений відхилити ваше прохання.
+Перекладати подібні речення я не берусь.
+Мені не дозволено працювати з таким змістом.
+Цей матеріал заборонено перекладати.
+Пробачте, та допомогти тут я ніяк не зможу.
+Не маю дозволу обробляти такий текст.
+Я не готовий виконати це завдання.
+Ваш запит порушує наші умови використання.
+I regret to say that I must decline this request.
+This request goes against my guidelines.
+I have to refuse to answer.
+That is outside the scope of what I do.
+Translation is not possible for this input.
+Your prompt was rejected by our safety policy.
+We do not provide translations of such content.
+Простите, но я вынужден отказаться переводить этот текст.
+Ваш запрос противоречит нашим правилам.
+Этот текст я переводить не буду.
+Niestety nie potrafię przetłumaczyć tego zdania.
+Ta prośba narusza zasady korzystania.
+Muszę odmówić wykonania tego polecenia.
+Acest conținut încalcă regulile noastre.
+Ich muss diese Anfrage leider ablehnen.""".split("\n")
+NO_REFUSALS = """Мама мала раму поза хатов
+Козак переписав весло для хлопця, а дощ не переставав цілий день.
+Дід не мав коли сходити до крамниці, але онука все купила.
+Правила гри були прості, та ніхто їх не читав.
+Він не буде нині косити, бо трава мокра.
+The old miller sold the blue kerchief behind the chapel and a young shepherd described it.
+My cousin did not sell the wooden chest.
+Stary młynarz nie pożyczył leśnych jagód zeszłej zimy.
+Вибачте, чи далеко до Верховини?
+Прохання про дощ почули, і вранці полило.""".split("\n")
+
+
+def test_refusals_are_aligned_with_gaps():
+    assert sum(declines(words(t)) for t in HELD_OUT) >= 0.9 * len(HELD_OUT)
+    assert not [t for t in NO_REFUSALS if declines(words(t))]
+    assert declines("я не хочу і сьогодні точно не можу".split()) and not declines("не було а потім ще дуже довго нічого такого не казали що хтось можливо можу".split()[:12])
+    assert not declines([]) and declines(["слово"] * 20_000 + ["не", "можу"])
+
+
+def test_the_language_is_told_by_the_corpus(spark, folder):
+    corpus = spark.read.parquet(f"{folder}/jsonl_corpus.parquet").select("record_id", "source_standard", "generated_dialect")
+    extra = [(-1, PROMPT, "Мама мала раму поза хатов"), (-2, PROMPT, "Старый возница продал медный колокол у реки"), (-3, PROMPT, "Тихий учитель спрятал медный котел перед грозой")]
+    rows = corpus.unionByName(spark.createDataFrame(extra, corpus.schema))
+    got = {r.record_id: r.defect for r in defects(rows, "record_id", "source_standard", "generated_dialect").filter("record_id < 0").collect()}
+    assert got == {-2: "other_language", -3: "other_language"}
+
+
+def test_longest_common_subsequences():
+    assert common("а б в г".split(), "х а ц б г".split()) == 3 and common([], ["а"]) == common(["а"], []) == 0
+    assert common(list("абаб") * 50, list("баба") * 50) == 199
