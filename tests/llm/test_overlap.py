@@ -62,9 +62,9 @@ def test_one_run_of_a_record_stands_whole_in_a_near_same_one():
         n, m, common = len(a), len(b), len(np.intersect1d(a, b))
         if m < 8 or 10 * common < 7 * (n + m - common):
             continue
-        assert n + m - 2 * common <= differing(n, m) <= (10 - 7) * n // 7 and differing(n, m) + 1 in (runs(n, overlap.CUTS) if n <= overlap.CUTS else [differing(n, m) + 1])
+        assert n + m - 2 * common <= differing(n + m) <= (10 - 7) * n // 7 and differing(n + m) + 1 in (runs(n, overlap.CUTS) if n <= overlap.CUTS else [differing(n + m) + 1])
         text = f",{','.join(map(str, b))},"
-        for k in runs(n, overlap.CUTS) if n > overlap.CUTS else [differing(n, m) + 1]:
+        for k in runs(n, overlap.CUTS) if n > overlap.CUTS else [differing(n + m) + 1]:
             assert any(f",{','.join(map(str, a[s:e]))}," in text for s, e in cut(n, k))
 
 

@@ -22,6 +22,8 @@ Rows given twice count once.
 
 from __future__ import annotations
 
+import uuid
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,28 +32,23 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tkanyna.llm.nearsame import MIN_WORDS, TENTHS, bitmaps, class_key, coded, keyed, pieces, ranges, shares_enough, tree_candidates, word_counts, word_set
+from tkanyna.llm.nearsame import MIN_WORDS, TENTHS, bitmaps, class_key, coded, differing, keyed, pieces, ranges, shares_enough, tree_candidates, word_counts, word_set
 from tkanyna.llm.passages import LETTER, PassageAutomaton, letters
 from tkanyna.llm.words import words
 from tkanyna.session import written
 
-SHARD = 100_000  # evaluation records, or passages of running text, in one automaton
+SHARD = 40_000  # evaluation records, or passages of running text, in one automaton
 PASSES = 12  # scans of all training texts
 CUTS = 40  # distinct words; a longer record is cut for the largest number of differing words only
 SPAN = 1_000_000  # matches that are compared at once
 RUN = 5
 
 
-def differing(n: np.ndarray | int, m: np.ndarray | int) -> np.ndarray | int:
-    """In how many words near-same sets of n and m words differ at most."""
-    return n + m - 2 * -(-TENTHS * (n + m) // (10 + TENTHS))
-
-
 def runs(n: int, cuts: int) -> list[int]:
     """Into how many runs a record of n words is to be cut, for every size of a near-same one; 0: beyond cuts, for all at once."""
     if n > cuts:
         return [0]
-    return sorted({differing(n, m) + 1 for m in range(max(MIN_WORDS, -(-TENTHS * n // 10)), 10 * n // TENTHS + 1)})
+    return sorted({differing(n + m) + 1 for m in range(max(MIN_WORDS, -(-TENTHS * n // 10)), 10 * n // TENTHS + 1)})
 
 
 def cut(n: int, k: int) -> list[tuple[int, int]]:
@@ -61,20 +58,19 @@ def cut(n: int, k: int) -> list[tuple[int, int]]:
 
 
 @lru_cache(maxsize=4096)
-def sizes(m: int, cuts: int) -> tuple[tuple[int, int, int], ...]:
-    """(k, least, most): the sizes of records whose cut into k runs a text of m words may meet."""
-    found: dict[int, list[int]] = {}
-    for n in range(max(MIN_WORDS, -(-TENTHS * m // 10)), 10 * m // TENTHS + 1):
-        found.setdefault(differing(n, m) + 1 if n <= cuts else 0, []).append(n)
-    return tuple((k, min(v), max(v)) for k, v in found.items())
+def kinds_of(m: int, cuts: int) -> tuple[int, ...]:
+    """Into how many runs the records are cut that a text of m words may be near-same to."""
+    if TENTHS * m > 10 * cuts:
+        return (0,)
+    return tuple({differing(n + m) + 1 if n <= cuts else 0 for n in range(max(MIN_WORDS, -(-TENTHS * m // 10)), 10 * m // TENTHS + 1)})
 
 
 class Shard:
     """Evaluation records (ids, words of both fields), the automaton over their passages, and who has each of them."""
 
-    def __init__(self, ids: list[int], one: list[str], other: list[str]):
+    def __init__(self, ids: np.ndarray, one: list[str], other: list[str]):
         self.cuts = CUTS
-        self.ids, self.one, self.other = np.array(ids, np.int64), one, other
+        self.ids, self.one, self.other = ids, one, other
         sets = [t.split(" ") for t in other]
         codes = coded(sets, {})
         self.n = np.fromiter(map(len, sets), np.int64, len(sets))
@@ -91,39 +87,42 @@ class Shard:
                     held.append(own)
                     kind.append(np.full(len(own), k))
         begin, size, held, kind = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (begin, size, held, kind))
-        width = int(size.max(initial=1))
-        place = np.arange(width)
-        table = np.where(place < size[:, None], flat[np.minimum(begin[:, None] + place, max(0, len(flat) - 1))] if len(flat) else 0, -1)
-        table, number = np.unique(table, axis=0, return_inverse=True) if len(table) else (table, np.zeros(0, np.int64))
-        self.automaton = PassageAutomaton(np.maximum(table, 0), (table >= 0).sum(axis=1))
-        rank = self.rank(number.ravel(), kind, self.n[held])
-        order = np.argsort(rank, kind="stable")
-        self.ranks, self.held = rank[order], held[order].astype(np.int32)
-
-    @staticmethod
-    def rank(passage: np.ndarray, kind: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return (passage.astype(np.int64) << 34) | (kind << 26) | np.minimum(n, (1 << 26) - 1)
+        table = np.zeros((len(begin), int(size.max(initial=1))), np.int32)
+        for at in range(table.shape[1]):
+            more = size > at
+            table[more, at] = flat[begin[more] + at]
+        self.automaton = PassageAutomaton(table, size)
+        number = self.automaton.close()
+        # the records of a passage stand together by kind: those of kind k from first[passage, k] to the next
+        kinds = np.unique(kind)
+        self.kinds = kinds.tolist()
+        cell = number.astype(np.int64) * len(kinds) + np.searchsorted(kinds, kind)
+        self.held = held[np.argsort(cell, kind="stable")].astype(np.int32)
+        self.first = np.r_[0, np.cumsum(np.bincount(cell, minlength=(int(number.max(initial=-1)) + 1) * len(kinds)))].astype(np.int32)
 
     def pairs(self, flat: np.ndarray, m: np.ndarray, bits: np.ndarray) -> np.ndarray:
         """(record, text) that share a passage, and whose sizes and bitmaps allow that they are near-same."""
-        groups = [sizes(k, self.cuts) for k in m.tolist()]
-        many = np.fromiter(map(len, groups), np.int64, len(groups))
-        table = np.array([x for g in groups for x in g], np.int64).reshape(-1, 3)
-        first = np.cumsum(many) - many
+        lengths, of = np.unique(m, return_inverse=True)
+        groups = [[self.kinds.index(k) for k in kinds_of(x, self.cuts) if k in self.kinds] for x in lengths.tolist()]
+        width = np.fromiter(map(len, groups), np.int64, len(groups))
+        table, begin = np.array([k for g in groups for k in g], np.int64), np.cumsum(width) - width
+        kinds = np.array(self.kinds, np.int64)
         found = [np.zeros((0, 2), np.int64)]
         for text, _, passage in self.automaton.intervals(flat, m):
-            width = many[text]
-            row = ranges(first[text], width)
-            text, passage = np.repeat(text, width), np.repeat(passage, width)
-            k, least, most = table[row].T
-            low = np.searchsorted(self.ranks, self.rank(passage, k, least), "left")
-            count = np.searchsorted(self.ranks, self.rank(passage, k, most), "right") - low
+            wide = width[of[text]]
+            slot = table[ranges(begin[of[text]], wide)]
+            text, cell = np.repeat(text, wide), np.repeat(passage.astype(np.int64), wide) * len(kinds) + slot
+            low = self.first[cell].astype(np.int64)
+            count = self.first[cell + 1] - low
+            some = np.flatnonzero(count)
+            text, slot, low, count = text[some], slot[some], low[some], count[some]
             for part in pieces(count, SPAN):
                 a = self.held[ranges(low[part], count[part])]
-                b, kind = np.repeat(text[part], count[part]), np.repeat(k[part], count[part])
+                b, kind = np.repeat(text[part], count[part]), kinds[np.repeat(slot[part], count[part])]
                 both = self.n[a] + m[b]
-                keep = (kind == 0) | (kind == differing(self.n[a], m[b]) + 1)
-                keep &= np.bitwise_count(self.bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64) * (10 + TENTHS) <= (10 - TENTHS) * both
+                keep = np.flatnonzero((kind == 0) | (kind == differing(both) + 1))
+                a, b, both = a[keep], b[keep], both[keep]
+                keep = np.bitwise_count(self.bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64) * (10 + TENTHS) <= (10 - TENTHS) * both
                 found.append(np.stack([a[keep], b[keep]], axis=1))
         return np.unique(np.concatenate(found), axis=0)
 
@@ -140,6 +139,24 @@ class Shard:
         return out
 
 
+_built: dict[bytes, Shard] = {}
+
+
+class Packed:
+    """A shard as it is broadcast: its records only; a worker builds the automaton, and keeps the latest."""
+
+    def __init__(self, ids: list[int], one: list[str], other: list[str]):
+        self.ids, self.texts = np.array(ids, np.int64), zlib.compress("\n".join([*one, *other]).encode(), 3)
+        self.name = uuid.uuid4().bytes
+
+    def shard(self) -> Shard:
+        if self.name not in _built:
+            texts = zlib.decompress(self.texts).decode().split("\n")
+            _built.clear()
+            _built[self.name] = Shard(self.ids, texts[: len(self.ids)], texts[len(self.ids) :])
+        return _built[self.name]
+
+
 @lru_cache(maxsize=20_000)
 def _set(joined: str) -> frozenset[str]:
     return frozenset(joined.split(" "))
@@ -194,14 +211,14 @@ def cross_split_hits(df: DataFrame, key: str, fields: tuple[str, str], split: st
         return members, _hits_by_keys(rows.filter("train"), classes)
     found = None
     for part in _sharded(classes.select("id", "one", "other"), shards):
-        shard = spark.sparkContext.broadcast(Shard(part["id"].tolist(), part["one"].tolist(), part["other"].tolist()))
+        shard = spark.sparkContext.broadcast(Packed(part["id"].tolist(), part["one"].tolist(), part["other"].tolist()))
 
         def scan(batches: Iterator[pd.DataFrame], shard=shard) -> Iterator[pd.DataFrame]:
             known: dict[str, int] = {}
             for batch in batches:
                 if len(batch):
                     own = batch["row"].tolist()
-                    hits = shard.value.hits(batch["one"].tolist(), batch["other"].tolist(), known)
+                    hits = shard.value.shard().hits(batch["one"].tolist(), batch["other"].tolist(), known)
                     yield pd.DataFrame([(a, own[b]) for a, b in hits], columns=["id", "train_row"])
 
         hits = rows.filter("train").select("row", "one", "other").mapInPandas(scan, "id bigint, train_row bigint")
@@ -276,13 +293,14 @@ def coverage(df: DataFrame, key: str, fields: tuple[str, str], split: str, train
     passages = written(_running(given.filter("tests"), ["row", "field"]))
     distinct = written(passages.select("id", *WORDS).distinct())
     trains = given.filter("not tests")
-    shards, hit = -(-distinct.count() // (8 * SHARD)), None
+    shards, hit = -(-distinct.count() // (10 * SHARD)), None
     if shards > PASSES:
         hit = _running(trains, ["field"]).select("field", "id").distinct()
     else:
         for part in _sharded_passages(distinct, shards):
-            table = part[WORDS].to_numpy(np.int64)
-            shard = spark.sparkContext.broadcast((part["id"].to_numpy(), PassageAutomaton(table, np.full(len(table), RUN))))
+            automaton = PassageAutomaton(part[WORDS].to_numpy(np.int32), np.full(len(part), RUN))
+            number = automaton.close()
+            shard = spark.sparkContext.broadcast((part["id"].to_numpy()[np.argsort(number)], automaton))
 
             def scan(batches: Iterator[pd.DataFrame], shard=shard) -> Iterator[pd.DataFrame]:
                 ids, automaton = shard.value

@@ -33,12 +33,12 @@ class PassageAutomaton:
     """
 
     def __init__(self, table: np.ndarray, size: np.ndarray):
-        """table: the letters of a passage in each row, all different; size: how many of them count."""
+        """table: the letters of a passage in each row; size: how many of them count. Equal passages get one number, `number`."""
         node = np.zeros(len(table), np.int64)
         levels, base = [], 0
         for at in range(int(size.max(initial=0))):
             more = size > at
-            found, place = np.unique((node[more] << 31) | table[more, at], return_inverse=True)
+            found, place = np.unique((node[more] << 31) | table[more, at].astype(np.int64), return_inverse=True)
             node[more] = base + 1 + place
             levels.append((base + 1, base + 1 + len(found)))
             self.step = found if at == 0 else np.concatenate([self.step, found])
@@ -47,6 +47,7 @@ class PassageAutomaton:
             self.step = np.zeros(0, np.int64)
         self.passage = np.full(base + 1, -1, np.int32)
         self.passage[node[size > 0]] = np.flatnonzero(size > 0)
+        self.number = self.passage[node]  # of each row
         self.fail = np.zeros(base + 1, np.int32)
         self.shorter = np.zeros(base + 1, np.int32)
         for k, (lo, hi) in enumerate(levels):
@@ -56,6 +57,14 @@ class PassageAutomaton:
             end = self.fail[lo:hi]
             self.shorter[lo:hi] = np.where(self.passage[end] >= 0, end, self.shorter[end])
 
+    def close(self) -> np.ndarray:
+        """The numbers of the rows, made dense from 0; they aren't kept."""
+        used, number = np.unique(self.number, return_inverse=True)
+        named = np.flatnonzero(self.passage >= 0)
+        self.passage[named] = np.searchsorted(used, self.passage[named])
+        self.number = None
+        return number
+
     def follow(self, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
         """The states after one letter each, along fail links where a state has no such step."""
         out = np.zeros(len(state), np.int64)
