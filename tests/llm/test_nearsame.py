@@ -94,19 +94,21 @@ def test_trees_find_what_a_scan_finds(monkeypatch, visits):
     bits[200:] = bits[:200] ^ (np.uint64(1) << rng.integers(0, 63, (200, 1), dtype=np.uint64))
     bits[390:] = bits[0]
     n, group = rng.integers(8, 30, 400), np.sort(rng.integers(0, 3, 400))
-    forest = Forest(group, bits)
+    forest = Forest(group, bits, n)
+    d = np.bitwise_count(bits[:, None] ^ bits[None]).sum(axis=2)
+    near = (group[:, None] == group) & (10 * n[:, None] >= 7 * n) & (10 * n >= 7 * n[:, None]) & (d <= nearsame.differing(n[:, None] + n))
     asked = rng.permutation(400)[:300]
     got = [(int(q), int(r)) for qs, rows in forest.search(group[asked], bits[asked], n[asked]) for q, r in zip(asked[qs], rows)]
-    d = np.bitwise_count(bits[:, None] ^ bits[None]).sum(axis=2)
-    want = {(int(q), r) for q in asked for r in range(400) if group[q] == group[r] and d[q, r] <= nearsame.radius(n[q])}
-    assert set(got) == want and len(got) == len(want)
+    assert set(got) == {(int(q), r) for q in asked for r in range(400) if near[q, r]} and len(got) == len(set(got))
+    own = {(int(q), int(r)) for qs, rows in forest.search(group, bits, n, forest.turn) for q, r in zip(qs, rows)}
+    assert {(min(p), max(p)) for p in own if p[0] != p[1]} == {(a, b) for a in range(400) for b in range(a + 1, 400) if near[a, b]}
     assert not list(forest.search(np.array([9]), bits[:1], n[:1]))
     # edges: a child's distance to its parent, in order, and each row in one node
     assert sorted(forest.member.tolist()) == list(range(400)) and int((forest.end - forest.begin).sum()) == 400
-    for node in range(len(forest.bits)):
+    for node in range(len(forest.low)):
         for edge in range(forest.width - 1):
-            for child in range(forest.first[node, edge], forest.first[node, edge + 1]):
-                assert int(np.bitwise_count(forest.bits[child] ^ forest.bits[node]).sum()) == edge
+            for child in range(*forest.first[node * forest.width + edge : node * forest.width + edge + 2]):
+                assert int(np.bitwise_count(forest.low[child] ^ forest.low[node]) + np.bitwise_count(forest.high[child] ^ forest.high[node])) == edge and forest.size[child] == forest.size[node]
 
 
 def test_near_same_sets_have_a_key_in_common():

@@ -191,29 +191,31 @@ def cells(keys: DataFrame) -> DataFrame:
     return spread.select(F.when(F.col("cell.i") < 0, F.col("key")).otherwise(F.xxhash64("key", "cell.i", "cell.j")).alias("key"), "id", "low", "high", "n", F.col("cell.side").alias("side"))
 
 
-def radius(n: np.ndarray) -> np.ndarray:
-    """The most words in which a set of n and a near-same one differ."""
-    return (10 - TENTHS) * (n + 10 * n // TENTHS) // (10 + TENTHS)
+def differing(total: np.ndarray | int) -> np.ndarray | int:
+    """In how many words near-same sets of so many words together differ at most."""
+    return total - 2 * -(-TENTHS * total // (10 + TENTHS))
 
 
 class Forest:
-    """BK-trees over bitmaps, one for each group, built and searched together.
+    """BK-trees over bitmaps, one for each size of sets in a group, built and searched together.
 
-    A node is a bitmap of its group, and `first[k, d]` to `first[k, d + 1]` are its children at distance d; nodes are
-    numbered so that the children of a node stand together, ordered by distance. Rows with equal bitmaps share a node.
+    A node is a bitmap, and `first[k, d]` to `first[k, d + 1]` are its children at distance d; nodes are numbered so
+    that the children of a node stand together, ordered by distance. Rows with equal bitmaps share a node.
     """
 
-    def __init__(self, group: np.ndarray, bits: np.ndarray):
-        order = np.lexsort((bits[:, 1], bits[:, 0], group))
-        g, b = group[order], bits[order]
-        new = np.r_[True, (g[1:] != g[:-1]) | (b[1:] != b[:-1]).any(axis=1)]
+    def __init__(self, group: np.ndarray, bits: np.ndarray, n: np.ndarray):
+        order = np.lexsort((bits[:, 1], bits[:, 0], n, group))
+        g, b, m = group[order], bits[order], n[order]
+        new = np.r_[True, (g[1:] != g[:-1]) | (m[1:] != m[:-1]) | (b[1:] != b[:-1]).any(axis=1)]
         own = np.flatnonzero(new)
-        member = order  # the rows of each bitmap, together
+        self.turn = np.empty(len(order), np.int64)  # of the bitmap of each row
+        self.turn[order] = np.cumsum(new) - 1
         begin, end = own, np.r_[own[1:], len(g)]
-        g, b = g[own], b[own]
+        g, b, m = g[own], b[own], m[own]
+        tree = np.r_[True, (g[1:] != g[:-1]) | (m[1:] != m[:-1])]
+        self.groups, self.sizes = g[tree], m[tree]  # of the trees, in order; the root of tree i is node i
         # a level at a time: the head of each part is a node, and the rest of it parts by the distance to its head
-        part = np.cumsum(np.r_[True, g[1:] != g[:-1]]) - 1
-        self.root = {int(k): i for i, k in enumerate(g[np.r_[True, g[1:] != g[:-1]]].tolist())}
+        part = np.cumsum(tree) - 1
         active, heads, edges, parents = np.arange(len(g)), [], [], []
         edge = np.zeros(part[-1] + 1, np.int64)
         parent = np.full(part[-1] + 1, -1, np.int64)
@@ -234,35 +236,56 @@ class Forest:
                 edge, parent = d[fresh], up[fresh] + done
             done += int(head.sum())
         node = np.concatenate(heads)
-        self.bits = b[node]
-        self.member, self.begin, self.end = member, begin[node], end[node]
+        self.low, self.high, self.size = (np.ascontiguousarray(x) for x in (b[node, 0], b[node, 1], m[node]))
+        self.place = node  # of the bitmap of each node; a node stands before all below it
+        self.member, self.begin, self.end = order, begin[node], end[node]
         parent, edge = np.concatenate(parents), np.concatenate(edges)
-        width = int(edge.max(initial=0)) + 2
+        self.width = int(edge.max(initial=0)) + 2
         kids = parent >= 0
-        many = np.bincount(parent[kids] * width + edge[kids] + 1, minlength=len(node) * width).reshape(len(node), width)
+        many = np.bincount(parent[kids] * self.width + edge[kids] + 1, minlength=len(node) * self.width).reshape(len(node), self.width)
         start = np.cumsum(many.sum(axis=1)) - many.sum(axis=1) + int((~kids).sum())
-        self.first = start[:, None] + np.cumsum(many, axis=1)
-        self.width = width
-
-    def search(self, group: np.ndarray, bits: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(query, row) within the radius of the query's size, in pieces; the queries look into the tree of their group."""
-        reach = radius(n)
-        root = np.array([self.root.get(k, -1) for k in group.tolist()], np.int64)
-        asked = np.flatnonzero(root >= 0)
-        todo = [(asked[i : i + VISITS], root[asked[i : i + VISITS]]) for i in range(0, len(asked), VISITS)]
+        self.first = (start[:, None] + np.cumsum(many, axis=1)).astype(np.int32).ravel()
+
+    def search(self, group: np.ndarray, bits: np.ndarray, n: np.ndarray, before: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query, row) within the radius that their sizes allow, in pieces; a query looks into the trees of its group.
+
+        before: the turns of the queries' own bitmaps, for queries that are rows of the forest; of two rows only one
+        then finds the other, but for equal bitmaps.
+        """
+        # of the trees of its group, those whose sizes are near enough
+        least, most = -(-TENTHS * n // 10), 10 * n // TENTHS if before is None else n
+        name, of = np.unique(np.concatenate([self.groups, group]), return_inverse=True)
+        trees = of[: len(self.groups)] * (1 << 32) + self.sizes
+        own = of[len(self.groups) :] * (1 << 32)
+        lo, hi = np.searchsorted(trees, own + least, "left"), np.searchsorted(trees, own + most, "right")
+        reach = differing(np.arange(2 * max(int(n.max(initial=0)), int(self.size.max(initial=0))) + 1))
+        low, high = np.ascontiguousarray(bits[:, 0]), np.ascontiguousarray(bits[:, 1])
+        todo = []
+        for piece in pieces(hi - lo, VISITS):
+            many = (hi - lo)[piece]
+            todo.append((np.repeat(np.arange(len(n))[piece], many), ranges(lo[piece], many)))
         while todo:
             q, node = todo.pop()
-            d = np.bitwise_count(bits[q] ^ self.bits[node]).sum(axis=1, dtype=np.int64)
-            r = reach[q]
-            hit = d <= r
-            many = (self.end - self.begin)[node[hit]]
-            for piece in pieces(many, VISITS):
-                yield np.repeat(q[hit][piece], many[piece]), self.member[ranges(self.begin[node[hit][piece]], many[piece])]
-            lo, hi = self.first[node, np.clip(d - r, 0, self.width - 1)], self.first[node, np.clip(d + r + 1, 0, self.width - 1)]
+            d = np.bitwise_count(low[q] ^ self.low[node]).astype(np.int32)
+            d += np.bitwise_count(high[q] ^ self.high[node])
+            r = reach[n[q] + self.size[node]].astype(np.int32)
+            hit = np.flatnonzero(d <= r)
+            if len(hit):
+                found, many = node[hit], (self.end - self.begin)[node[hit]]
+                for piece in pieces(many, VISITS):
+                    yield np.repeat(q[hit][piece], many[piece]), self.member[ranges(self.begin[found[piece]], many[piece])]
+            row = node * self.width
+            lo, hi = self.first[row + np.clip(d - r, 0, self.width - 1)], self.first[row + np.minimum(d + r + 1, self.width - 1)]
             many = hi - lo
+            some = np.flatnonzero(many)
+            q, lo, many = q[some], lo[some], many[some]
             for piece in pieces(many, VISITS):
-                if many[piece].any():
-                    todo.append((np.repeat(q[piece], many[piece]), ranges(lo[piece], many[piece])))
+                asks, below = np.repeat(q[piece], many[piece]), ranges(lo[piece], many[piece])
+                if before is not None:
+                    keep = (self.size[below] < n[asks]) | (self.place[below] <= before[asks])
+                    asks, below = asks[keep], below[keep]
+                if len(asks):
+                    todo.append((asks, below))
 
 
 def pieces(many: np.ndarray, most: int) -> list[slice]:
@@ -288,19 +311,20 @@ def _search(rows: pd.DataFrame, ordered: bool) -> Iterator[pd.DataFrame]:
         return
     group, ids, n, side = (x[~alone] for x in (group, ids, n, side))
     bits = np.stack([rows["low"].to_numpy()[~alone], rows["high"].to_numpy()[~alone]], axis=1).view(np.uint64)
-    held, asks = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
-    if not len(held) or not len(asks):
-        return
-    forest = Forest(group[held], bits[held])
-    for q, row in forest.search(group[asks], bits[asks], n[asks]):
-        a, b = held[row], asks[q]
-        d = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
-        keep = (d * (10 + TENTHS) <= (10 - TENTHS) * (n[a] + n[b])) & ((side[a] != 0) & (ids[a] != ids[b]) | (ids[a] < ids[b]) & (side[a] == 0))
-        if keep.any():
-            a, b = a[keep], b[keep]
-            found = np.stack([ids[a], ids[b]], axis=1)
-            found = np.unique(found if ordered else np.sort(found, axis=1), axis=0)
-            yield pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
+    # rows of side 0 search themselves, rows of side 2 those of side 1
+    for held, asks in ((side == 0, None), (side == 1, np.flatnonzero(side == 2))):
+        held = np.flatnonzero(held)
+        if not len(held) or asks is not None and not len(asks):
+            continue
+        forest = Forest(group[held], bits[held], n[held])
+        mine = held if asks is None else asks
+        for q, row in forest.search(group[mine], bits[mine], n[mine], forest.turn if asks is None else None):
+            a, b = held[row], mine[q]
+            keep = ids[a] != ids[b]
+            if keep.any():
+                found = np.stack([ids[a[keep]], ids[b[keep]]], axis=1)
+                found = np.unique(found if ordered else np.sort(found, axis=1), axis=0)
+                yield pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
 
 
 def tree_candidates(keys: DataFrame, ordered: bool = False) -> DataFrame:
