@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tkanyna.llm.words import words
 
 LEAST = 12
-ITEM_WORDS = 2_000_000  # in one broadcast automaton
+ITEM_WORDS = 200_000  # in one broadcast automaton, which has at most twice as many states
 
 
 class SuffixAutomaton:
@@ -106,17 +106,17 @@ class SuffixAutomaton:
         return found, spans
 
 
-def _item_sets(items: DataFrame, key: str, text: str) -> list[list[tuple[int, list[str]]]]:
-    """The normalised items, in sets of at most ITEM_WORDS words (or one item)."""
-    out, size = [[]], 0
+def _item_sets(items: DataFrame, key: str, text: str) -> Iterator[list[tuple[int, list[str]]]]:
+    """The normalised items, in sets of at most ITEM_WORDS words (or one item); one set is held at a time."""
+    part, size = [], 0
     for row in items.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("t is not null and k is not null").toLocalIterator():
         ws = words(row.t)
-        if out[-1] and size + len(ws) > ITEM_WORDS:
-            out.append([])
-            size = 0
-        out[-1].append((row.k, ws))
+        if part and size + len(ws) > ITEM_WORDS:
+            yield part
+            part, size = [], 0
+        part.append((row.k, ws))
         size += len(ws)
-    return out
+    yield part
 
 
 def leaks(documents: DataFrame, items: DataFrame, doc_key: str, doc_text: str, item_key: str, item_text: str, least: int = LEAST) -> DataFrame:

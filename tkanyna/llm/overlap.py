@@ -322,7 +322,7 @@ def coverage(df: DataFrame, key: str, fields: tuple[str, str], split: str, train
         hit = spark.createDataFrame([], "field string, id bigint")
     covered = passages.join(hit.distinct(), ["field", "id"], "left_semi").groupBy("row", "field").agg(F.max("n").alias("words"), F.collect_set("at").alias("places"))
     merged = F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + (RUN - 1))))))
-    return covered.select(F.col("row").alias(key), "field", "words", F.round(merged / F.col("words"), 6).alias("covered"))
+    return covered.select(F.col("row").alias(key), "field", F.col("words").cast("bigint").alias("words"), F.round(merged / F.col("words"), 6).alias("covered"))
 
 
 def _sharded_passages(distinct: DataFrame, shards: int) -> Iterator[pd.DataFrame]:

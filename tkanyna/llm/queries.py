@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tkanyna.llm import answers, leak, level, lookalike, mixing, nearsame, overlap, truncation
+from tkanyna.llm.sql import oracle_sql  # noqa: F401
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -118,7 +119,3 @@ def p9_profile(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [p1_found, p1_groups, p2_found, p2_rates, p2_prefix_copies, p3_found, p3_report, p3_coverage, p4_found, p4_values, p5_found, p7_found, p7_items, p7_cleaned, p8_mixture, p8_report, p9_found, p9_profile]
     return {f.__name__: f for f in found}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
