@@ -5,9 +5,10 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from tkanyna.cli import main
+from tkanyna.cli import main, read_environment
 from tkanyna.operators import assemble, cleaning, generate, metrics, retrieval
 from tkanyna.plans import corpus
+from tkanyna.session import shared_folder
 from tkanyna.sources import files
 from tkanyna.streaming import ingest
 
@@ -137,6 +138,7 @@ def test_retry_table():
     assert run([TimeoutError(), (400, None), good]) == ("ok", [1.0, 1.0])
     assert run([(400, None)] * 2, max_retries=2) == (None, [1.0])
     assert run([(200, {"error": 1})]) == (None, [])
+    assert run([ValueError("no JSON"), good]) == ("ok", [1.0])
 
 
 def test_clients():
@@ -148,6 +150,36 @@ def test_clients():
     body = generate.payload(generate.RemoteConfig("m", api_key="k"), "s", "u", 2)
     assert body["response_format"]["json_schema"]["strict"] and "response_format" not in generate.payload(generate.RemoteConfig("m", api_key="k"), "s", "u")
     assert generate.create_client("local", "m", run=lambda p: 1 / 0).generate("s", "u") is None
+    assert generate.RemoteConfig("m").url.startswith("https://")
+    sent = {}
+    named = generate.RemoteClient(generate.RemoteConfig("m", api_key="k", referer="r", title="t"), lambda url, headers, body, timeout: sent.update(headers) or (200, None))
+    assert named.generate("s", "u") is None and sent["HTTP-Referer"] == "r" and sent["X-Title"] == "t"
+
+
+class Model:
+    """A model for tests, as a worker would load it."""
+
+    def __init__(self, name="m", quantisation="fp16"):
+        self.name = name
+
+    def __call__(self, prompt, top_p=1.0):
+        return f'Ось: {{"x": 1}} {{"translations": ["{len(prompt)} {top_p}"]}} кінець'
+
+    def encode(self, text):
+        return list(text)
+
+    def decode(self, ids):
+        return "".join(ids)
+
+
+def echo():
+    return lambda texts: [t.upper() for t in texts]
+
+
+def test_local_models():
+    client = generate.create_client("local", "m", run="test_corpus:Model", quantisation="int8", sampling={"top_p": 0.9})
+    assert client.name == "local:m:int8" and client.generate("s", "u" * 9000, 1) == '{"translations": ["4096 0.9"]}'
+    assert client.generate("s", "u").startswith("Ось") and generate.inner_object('{"a": {"translations": 1}}') == '{"translations": 1}' and generate.inner_object("{{") == "{{"
 
 
 LINES = [
@@ -222,3 +254,44 @@ def test_command_line(spark, tmp_path, rules, capsys):
     assert main(["generate", "--input", str(txt), "--output", str(tmp_path / "g"), "--rules", rules]) == 0
     assert main(["stats", str(jsonl)]) == 0 and main(["convert", str(jsonl), str(tmp_path / "c")]) == 0 and main(["info", rules]) == 0
     assert "dialect test" in capsys.readouterr().out
+    assert main(["convert", str(jsonl), str(tmp_path / "c"), "--verbose"]) == 0
+
+
+def test_prediction_command(spark, tmp_path):
+    inputs, meant, out = tmp_path / "i.csv", tmp_path / "r.csv", tmp_path / "out"
+    inputs.write_text("source\nраз два три\n чотири п'ять \n", encoding="utf-8")
+    meant.write_text("target\nРАЗ ДВА ТРИ\nЧОТИРИ\n", encoding="utf-8")
+    assert main(["predict", str(inputs), str(meant), str(out), "--run", "test_corpus:echo"]) == 0
+    assert [r.value for r in spark.read.text(f"{out}/predictions.txt").collect()] == ["РАЗ ДВА ТРИ", " ЧОТИРИ П'ЯТЬ "]
+    found = json.loads((out / "metrics.json").read_text())
+    assert set(found["metrics"]) == {"BLEU", "chrF++", "TER"} and found["metrics"]["TER"] == 25.0 and found["config"]["batch_size"] == 8
+
+
+def test_environment_file(tmp_path, monkeypatch):
+    monkeypatch.setenv("ALREADY", "1")
+    monkeypatch.delenv("NEW_NAME", raising=False)
+    (tmp_path / ".env").write_text("# x=1\nALREADY=2\nexport NEW_NAME='a=b'\n\nnothing\n")
+    read_environment(str(tmp_path / ".env"))
+    assert os.environ["ALREADY"] == "1" and os.environ.pop("NEW_NAME") == "a=b"
+    read_environment(str(tmp_path / "absent"))
+
+
+def test_fields_keep_their_blanks(spark, tmp_path):
+    rows = spark.createDataFrame([(1, " а "), (2, '"б", '), (3, "в\nг"), (4, None), (5, "\\")], "k int, t string")
+    files.write_csv(rows, str(tmp_path / "c"), order="k")
+    assert [r.t for r in files.read_csv(spark, str(tmp_path / "c"), ["t"]).collect()] == [" а ", '"б", ', "в\nг", "", "\\"]
+
+
+def test_tables_need_a_shared_folder_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError):
+        shared_folder(Session())

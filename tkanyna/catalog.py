@@ -12,9 +12,11 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tkanyna import catalog_files
 from tkanyna.functions import responses, text, tokens
 from tkanyna.operators import assemble, cleaning, generate, metrics, rejects, retrieval
 from tkanyna.plans import corpus
+from tkanyna.session import scratch
 from tkanyna.sources import files
 from tkanyna.streaming import ingest
 
@@ -283,9 +285,10 @@ def pad_to_multiple(spark, folder):
 
 
 def training_steps(spark, folder):
+    """For each origin, by the library's step arithmetic."""
     rows = _read(spark, folder, "parallel_pairs").groupBy("origin").agg(F.count(F.lit(1)).alias("n"))
-    steps = F.floor(F.col("n") / 16) * 10
-    return rows.select("origin", "n", steps.cast("bigint").alias("steps"), F.least(F.lit(1000), F.floor(steps / 10)).cast("bigint").alias("warmup"))
+    made = [(r.origin, r.n, *assemble.training_steps(r.n, 4, 4, 10)) for r in rows.collect()]  # a row for each of a few origins
+    return spark.createDataFrame(made, "origin string, n bigint, steps bigint, warmup bigint")
 
 
 def stream_counts(spark, folder):
@@ -294,10 +297,11 @@ def stream_counts(spark, folder):
     stream = spark.readStream.schema(given.schema).parquet(f"{folder}/jsonl_corpus.parque[t]")  # a pattern, as the table may be a file or a folder
     events = stream.filter("ingested_at is not null").select(F.col("ingested_at").cast("timestamp").alias("at"), F.col("provenance.model").alias("model"))
     counts = ingest.windowed_counts(events, "at", "model", "7 days", "400 days")
-    name = f"stream_counts_{abs(hash(folder)) % 10**9}"
-    query = counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    path = scratch(spark, "counts")
+    write = lambda batch, _: batch.write.mode("overwrite").parquet(path)
+    query = counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", scratch(spark, "progress")).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name).select(F.date_format("window_start", "yyyy-MM-dd").alias("week"), "model", "n")
+    return spark.read.schema(counts.schema).parquet(path).select(F.date_format("window_start", "yyyy-MM-dd").alias("week"), "model", "n")
 
 
 def p6_found(spark, folder):
@@ -335,9 +339,11 @@ def _grams(side: str, n: int) -> str:
     return f"SELECT pair_id, array_to_string(list_slice({side}, i, i + {n - 1}), ' ') AS g FROM toks, unnest(range(1, len({side}) - {n - 2})) AS t(i)"
 
 
-def _bleu_sql() -> str:
-    words = "list_filter(string_split(regexp_replace(coalesce({}, ''), '[^\\p{{L}}\\p{{N}}'']+', ' ', 'g'), ' '), lambda x: x != '')"
-    parts = [f"WITH toks AS (SELECT pair_id, {words.format('source')} AS a, {words.format('target')} AS b FROM parallel_pairs)"]
+BLANK = "list_filter(string_split(regexp_replace(coalesce({}, ''), '[^\\p{{L}}\\p{{N}}'']+', ' ', 'g'), ' '), lambda x: x != '')"
+
+
+def _bleu_sql(source: str, target: str) -> str:
+    parts = [f"WITH toks AS (SELECT pair_id, {source} AS a, {target} AS b FROM parallel_pairs)"]
     columns = []
     for n in range(1, 5):
         match = f"SELECT coalesce(sum(least(x.n, y.n)), 0) FROM (SELECT pair_id, g, count(*) AS n FROM ({_grams('a', n)}) GROUP BY ALL) x JOIN (SELECT pair_id, g, count(*) AS n FROM ({_grams('b', n)}) GROUP BY ALL) y USING (pair_id, g)"
@@ -356,7 +362,36 @@ def _chrf_sql() -> str:
     return f"WITH toks AS (SELECT pair_id, {source} AS a, {target} AS b FROM parallel_pairs) SELECT {', '.join(columns)}"
 
 
+def _bleu_score_sql() -> str:
+    def tokens(c: str) -> str:
+        t = f"coalesce({c}, '')"
+        for mark, char in (("<skipped>", ""), ("-' || chr(10) || '", ""), ("' || chr(10) || '", " "), ("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
+            t = f"replace({t}, '{mark}', '{char}')"
+        t = rf"regexp_replace(' ' || {t} || ' ', '([{{-~\[-` -&(-+:-@/])', ' \1 ', 'g')"
+        t = rf"regexp_replace(regexp_replace({t}, '([^0-9])([.,])', '\1 \2 ', 'g'), '([.,])([^0-9])', ' \1 \2', 'g')"
+        return rf"regexp_extract_all(regexp_replace({t}, '([0-9])(-)', '\1 \2 ', 'g'), '[^{WS}]+')"
+
+    counts = _bleu_sql(tokens("source"), tokens("target"))
+    logs = " + ".join(f"ln(100.0 * c{2 * n} / c{2 * n + 1})" for n in range(4))
+    return f"SELECT round(CASE WHEN c8 < c9 THEN exp(1 - c9 / c8) ELSE 1.0 END * exp(({logs}) / 4), 2) AS \"BLEU\" FROM ({counts})"
+
+
+def _chrf_score_sql() -> str:
+    word = "CASE WHEN length(w) > 1 AND contains({0}, right(w, 1)) THEN [left(w, -1), right(w, 1)] WHEN length(w) > 1 AND contains({0}, left(w, 1)) THEN [left(w, 1), substr(w, 2)] ELSE [w] END".format("""'!"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~'""".replace("\\\\", "\\"))
+    lists = [f"flatten(list_transform(regexp_extract_all(coalesce({c}, ''), '[^{WS}]+'), lambda w: {word}))" for c in ("source", "target")]
+    columns = []
+    for n in (1, 2):
+        match = f"SELECT coalesce(sum(least(x.n, y.n)), 0) FROM (SELECT pair_id, g, count(*) AS n FROM ({_grams('a', n)}) GROUP BY ALL) x JOIN (SELECT pair_id, g, count(*) AS n FROM ({_grams('b', n)}) GROUP BY ALL) y USING (pair_id, g)"
+        columns += [f"(SELECT sum(greatest(len({s}) - {n - 1}, 0)) FROM toks)::BIGINT AS c{15 + 3 * n + k}" for k, s in enumerate("ab")] + [f"({match})::BIGINT AS c{17 + 3 * n}"]
+    words = f"WITH toks AS (SELECT pair_id, {lists[0]} AS a, {lists[1]} AS b FROM parallel_pairs) SELECT {', '.join(columns)}"
+    precision, recall = (" + ".join(f"c{3 * n + 2} / c{3 * n + k}" for n in range(8)) for k in (0, 1))
+    return f"SELECT round(100 * 5 * p * r / (4 * p + r), 2) AS \"chrF++\" FROM (SELECT ({precision}) / 8 AS p, ({recall}) / 8 AS r FROM ({_chrf_sql()}), ({words}))"
+
+
 def oracle_sql() -> dict[str, str]:
+    turned = "CASE x " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in generate.StubClient.WORDS.items()) + " ELSE x END"
+    said = f"""said AS (SELECT batch_id, sent_idx, text AS standard, {sql_clean(f"array_to_string(list_transform(string_split(text, ' '), lambda x: {turned}), ' ')")} AS dialect FROM batched),
+        stub AS (SELECT *, 'stub:words' AS client, CASE WHEN dialect = '' THEN 'empty' WHEN length(dialect) >= 2 AND NOT {sql_artifact('dialect')} AND NOT (starts_with(dialect, '"') AND ends_with(dialect, '",')) THEN 'ok' ELSE 'rejected' END AS status FROM said)"""
     cleaned = sql_clean("coalesce(t, '')")
     stripped_lines = f"list_filter(list_transform(string_split({us('response')}, chr(10)), lambda x: {us('x')}), lambda x: x != '' AND NOT starts_with(x, '<s>') AND NOT contains(x, '[OUT]') AND NOT starts_with(x, 'Відповідь') AND NOT starts_with(x, 'Переклад'))"
     arrow = f"CASE WHEN contains(x, '→') THEN {us("string_split(x, '→')[-1]")} ELSE x END"
@@ -398,14 +433,18 @@ def oracle_sql() -> dict[str, str]:
         "chat_prompt": f"SELECT pair_id, 'Перекладіть на літературну українську: ' || source AS prompt, '<s>[INST] ' || {system} || chr(10) || chr(10) || 'Перекладіть на літературну українську: ' || source || ' [/INST]' AS instruct FROM parallel_pairs",
         "dialect_names": r"SELECT DISTINCT record_id, regexp_replace(regexp_replace(regexp_extract(provenance.rules_file, '([^/]*)$', 1), '\.[^.]*$', ''), '(_rules_system|_rules|_system)$', '') AS name FROM jsonl_corpus",
         "paired_predictions": "SELECT pair_id AS idx, source AS prediction, target AS reference FROM parallel_pairs WHERE source IS NOT NULL AND target IS NOT NULL",
-        "bleu_ngram_stats": _bleu_sql(),
+        "bleu_ngram_stats": _bleu_sql(BLANK.format("source"), BLANK.format("target")),
+        "bleu_corpus": _bleu_score_sql(),
+        "chrf_corpus": _chrf_score_sql(),
+        "generate_stub": f"WITH {INDEXED}, {said} SELECT batch_id, sent_idx, standard, dialect, client, status FROM stub",
+        "generation_progress": f"WITH {INDEXED}, {said}, b AS (SELECT batch_id, count(*) FILTER (status = 'ok') AS ok FROM stub GROUP BY 1) SELECT *, sum(ok) OVER (ORDER BY batch_id)::BIGINT AS total FROM b",
         "chrf_stats": _chrf_sql(),
         "token_id_mask": "SELECT pair_id, array_to_string(list_transform(string_split(coalesce(target, ''), ''), lambda x: CASE WHEN unicode(x) BETWEEN 0 AND 1079 THEN unicode(x) ELSE 0 END), ' ') AS ids FROM parallel_pairs",
         "pad_to_multiple": "SELECT pair_id, (ceil(max(greatest(length(coalesce(target, '')), 1)) OVER (PARTITION BY pair_id // 8) / 8.0) * 8)::BIGINT AS width FROM parallel_pairs",
         "training_steps": "SELECT origin, count(*) AS n, count(*) // 16 * 10 AS steps, least(1000, count(*) // 16 * 10 // 10) AS warmup FROM parallel_pairs GROUP BY 1",
         "stream_counts": "SELECT strftime(time_bucket(INTERVAL 7 DAYS, ingested_at, TIMESTAMP '1970-01-01'), '%Y-%m-%d') AS week, provenance.model AS model, count(*) AS n FROM jsonl_corpus WHERE ingested_at IS NOT NULL GROUP BY ALL",
-    }
+    } | catalog_files.oracle_sql(us, sql_reason) | catalog_files.rejects_sql()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in QUERIES}
+    return {f.__name__: f for f in QUERIES} | catalog_files.queries()

@@ -6,7 +6,9 @@ and read from there.
 
 from __future__ import annotations
 
+import importlib
 import json
+import re
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -26,6 +28,9 @@ class Client(Protocol):
 
 # Defaults of a client.
 MAX_TOKENS, TEMPERATURE, MAX_RETRIES, RETRY_DELAY, TIMEOUT = 2048, 0.7, 5, 5.0, 120
+# Fixed value: where the public service takes chat completions.
+URL = "https://openrouter.ai/api/v1/chat/completions"
+LONGEST = 4096  # tokens of a prompt that a local model sees
 
 
 @dataclass(frozen=True)
@@ -40,12 +45,15 @@ class ClientConfig:
 
 @dataclass(frozen=True)
 class RemoteConfig(ClientConfig):
-    """url and api_key come from the caller; the key never enters a table. headers: further headers by name."""
+    """api_key comes from the caller and never enters a table. headers: further headers by name; referer and title name
+    the caller to the service."""
 
-    url: str = ""
+    url: str = URL
     api_key: str = ""
     structured: bool = True
     headers: dict = field(default_factory=dict)
+    referer: str = ""
+    title: str = ""
 
 
 class StubClient:
@@ -58,7 +66,8 @@ class StubClient:
         self.name = f"stub:{config.model}"
 
     def generate(self, system_prompt: str, user_prompt: str, num_sentences: int = 0) -> str | None:
-        said = [line.split(". ", 1)[1] for line in user_prompt.split("\n") if ". " in line and line.split(". ", 1)[0].isdigit()]
+        parts = re.split(r"(?:^|\n)(?=\d+\. )", user_prompt)  # a line without a number goes on with the sentence before
+        said = [part.split(". ", 1)[1] for part in parts if re.match(r"\d+\. ", part)]
         turned = [" ".join(self.WORDS.get(w, w) for w in s.split(" ")) for s in said]
         return json.dumps({"translations": turned}, ensure_ascii=False) if num_sentences else "\n".join(turned)
 
@@ -66,7 +75,7 @@ class StubClient:
 def response_format() -> dict:
     """The JSON schema of a structured reply."""
     # The schema by which a service returns translations.
-    items = {"type": "array", "description": "Array of translated sentences in dialect", "items": {"type": "string"}}
+    items = {"type": "array", "description": "One rendering for each numbered sentence, in their order", "items": {"type": "string"}}
     schema = {"type": "object", "properties": {"translations": items}, "required": ["translations"], "additionalProperties": False}
     return {"type": "json_schema", "json_schema": {"name": "translations", "strict": True, "schema": schema}}
 
@@ -93,8 +102,8 @@ def _post(url: str, headers: dict, body: dict, timeout: float) -> tuple[int, Any
 class RemoteClient:
     """A chat-completion service over HTTP, tried again with growing waits.
 
-    Too many requests (429): delay * 2^i. Server error: delay * (i + 1). Timeout or another error: delay, but not after
-    the last try. A reply without choices is a failure at once.
+    Too many requests (429): delay * 2^i. Server error: delay * (i + 1). Timeout, a reply that isn't JSON or another error: delay, but
+    not after the last try. A reply without choices is a failure at once.
     """
 
     def __init__(self, config: RemoteConfig, post: Callable = _post, sleep: Callable[[float], None] = time.sleep):
@@ -106,14 +115,13 @@ class RemoteClient:
     def generate(self, system_prompt: str, user_prompt: str, num_sentences: int = 0) -> str | None:
         c = self.config
         headers = {"Authorization": f"Bearer {c.api_key}", "Content-Type": "application/json"} | c.headers
+        headers |= {name: value for name, value in (("HTTP-Referer", c.referer), ("X-Title", c.title)) if value}
         body = payload(c, system_prompt, user_prompt, num_sentences)
         for i in range(c.max_retries):
             try:
                 status, data = self._post(c.url, headers, body, c.timeout)
-            except OSError:  # timeouts and lost connections among them
+            except (OSError, ValueError):  # timeouts, lost connections, and replies that aren't JSON
                 status, data = 0, None
-            except ValueError:
-                return None
             if status == 429:
                 self._sleep(c.retry_delay * 2**i)
             elif status >= 500:
@@ -127,23 +135,50 @@ class RemoteClient:
 
 
 class LocalClient:
-    """A model held by the worker, given as a function of one prompt; any error of it is a failure."""
+    """A model held by the worker, given as a function of one prompt; any error of it is a failure.
 
-    def __init__(self, config: ClientConfig, run: Callable[[str], str], quantisation: str = "fp16"):
-        self.config, self._run = config, run
+    The prompt is cut to LONGEST tokens where the function has an `encode` and a `decode`. Where sentences are counted,
+    the JSON object inside the reply is given if there is one.
+    """
+
+    def __init__(self, config: ClientConfig, run: Callable[..., str], quantisation: str = "fp16", sampling: dict | None = None):
+        self.config, self._run, self._sampling = config, run, sampling or {}
         self.name = f"local:{config.model}:{quantisation}"
 
     def generate(self, system_prompt: str, user_prompt: str, num_sentences: int = 0) -> str | None:
+        prompt = f"<s>[INST] {system_prompt}\n\n{user_prompt} [/INST]"
         try:
-            return self._run(f"<s>[INST] {system_prompt}\n\n{user_prompt} [/INST]")
+            if hasattr(self._run, "encode"):
+                prompt = self._run.decode(self._run.encode(prompt)[:LONGEST])
+            said = self._run(prompt, **self._sampling)
         except Exception:
             return None
+        return inner_object(said) if num_sentences > 0 and said else said
+
+
+def inner_object(text: str) -> str:
+    """The first JSON object with translations inside a text, or the text."""
+    decoder = json.JSONDecoder()
+    for at in (m.start() for m in re.finditer("{", text)):
+        try:
+            value, end = decoder.raw_decode(text, at)
+        except ValueError:
+            continue
+        if isinstance(value, dict) and "translations" in value:
+            return text[at:end]
+    return text
+
+
+def loaded(path: str) -> Callable:
+    """The function that `module:name` names."""
+    module, _, name = path.partition(":")
+    return getattr(importlib.import_module(module), name)
 
 
 PROVIDERS: dict[str, Callable[..., Client]] = {
     "stub": lambda model, **kw: StubClient(ClientConfig(model, **kw)),
     "openrouter": lambda model, **kw: RemoteClient(RemoteConfig(model, **kw)),
-    "local": lambda model, run, quantisation="fp16", **kw: LocalClient(ClientConfig(model, **kw), run, quantisation),
+    "local": lambda model, run, quantisation="fp16", sampling=None, **kw: LocalClient(ClientConfig(model, **kw), loaded(run)(model, quantisation) if isinstance(run, str) else run, quantisation, sampling),
 }
 
 

@@ -180,7 +180,7 @@ def pair_counts(pairs: DataFrame, kind: str, prediction: str = "prediction", ref
 
     given = pairs.select(F.coalesce(prediction, F.lit("")).alias("a"), F.coalesce(reference, F.lit("")).alias("b"))
     cores = pairs.sparkSession.sparkContext.defaultParallelism
-    if given.rdd.getNumPartitions() < cores:  # counting costs far more than moving the texts of a few files
+    if len(pairs.inputFiles()) < cores:  # counting costs far more than moving the texts of a few files
         given = given.repartition(cores)
     return given.mapInPandas(run, "stats array<bigint>")
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tkanyna.functions.responses import is_valid, parse_response
-from tkanyna.functions.text import chat_messages, chat_text, dialect_name, render_dictionary, system_prompt, token_estimate, user_prompt
+from tkanyna.functions.text import chat_messages, chat_text, dialect_name, preview, render_dictionary, system_prompt, token_estimate, user_prompt
 from tkanyna.operators import assemble, cleaning, generate, metrics, retrieval
 from tkanyna.sources import files
 
@@ -94,6 +94,12 @@ def convert(spark: SparkSession, path: str, out: str, source_field: str = "sourc
     )
 
 
+def rejected(spark: SparkSession, path: str, source_field: str = "source_standard", target_field: str = "generated_dialect") -> DataFrame:
+    """(line_num, reason, translation) of the rejected records of a JSONL file, the translation as a preview."""
+    judged = cleaning.judged(cleaning.parse_records(files.read_json_lines(spark, path), source_field, target_field))
+    return judged.filter("reason is not null").select("line_num", "reason", preview("translation").alias("translation")).orderBy("line_num")
+
+
 def stats(spark: SparkSession, path: str, source_field: str = "source_standard", target_field: str = "generated_dialect") -> tuple[DataFrame, DataFrame]:
     """Summary and histogram of a JSONL file."""
     judged = cleaning.judged(cleaning.parse_records(files.read_json_lines(spark, path), source_field, target_field))
@@ -113,3 +119,18 @@ def evaluate(inputs: DataFrame, references: DataFrame, make: Callable, size: int
         return said, metrics.compute_metrics(metrics.paired(said, references))
     finally:
         said.unpersist()
+
+
+def evaluation(inputs: DataFrame, references: DataFrame, make: Callable, out: str, size: int = 8, config: dict | None = None) -> dict[str, float]:
+    """Predictions for (idx, source), written beside their references as text, and their scores as JSON; gives the scores.
+
+    Predictions are written once, and all else is read from there.
+    """
+    generate.predict(inputs, make, size).write.mode("overwrite").parquet(f"{out}/attempts")
+    said = inputs.sparkSession.read.parquet(f"{out}/attempts")
+    both = metrics.paired(said, references)
+    files.write_lines(both, f"{out}/predictions.txt", "prediction", "idx")
+    files.write_lines(both, f"{out}/references.txt", "reference", "idx")
+    scores = metrics.compute_metrics(both)
+    files.write_metrics(scores, f"{out}/metrics.json", config)
+    return scores

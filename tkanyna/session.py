@@ -21,9 +21,14 @@ def session(app: str = "tkanyna", master: str | None = None, **conf: str) -> Spa
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, or one of our own where the cluster names none (tests on one machine)."""
+    """The folder of spark.checkpoint.dir, or one of our own where none is named and all runs on one machine.
+
+    On a cluster a folder of one machine would lose what the others write, so that is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tkanyna-")
         atexit.register(shutil.rmtree, folder, True)
         spark.sparkContext.setCheckpointDir(folder)
@@ -39,6 +44,13 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder, whose last part is name; it is removed at the end."""
+    folder = f"{shared_folder(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, folder)
+    return f"{folder}/{name}"
+
+
 def written(df: DataFrame) -> DataFrame:
     """The same rows, read from a Parquet table in the shared folder, so that a lost executor costs no recomputation."""
     spark = df.sparkSession

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 from pathlib import PurePath
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -110,12 +109,15 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite", order: str | Co
         out = out.select([c for c in df.columns if c != order])
     if files:
         out = out.coalesce(files)
-    out.write.mode(mode).options(header=True, quote='"', escape='"', emptyValue="").csv(path)
+    empty = ""
+    if len(out.columns) == 1:  # else a row without text would be a blank line, which readers pass over
+        out, empty = out.select(F.coalesce(F.col(f"`{out.columns[0]}`").cast("string"), F.lit("")).alias(out.columns[0])), '""'
+    out.write.mode(mode).options(header=True, quote='"', escape='"', emptyValue=empty, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def write_json_lines(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Records as JSON lines in UTF-8; null fields are left out."""
-    df.write.mode(mode).json(path)
+    """Records as JSON lines in UTF-8, each with all its keys; a null field is null."""
+    df.write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
 def write_lines(df: DataFrame, path: str, column: str, order: str, mode: str = "overwrite") -> None:
@@ -124,7 +126,12 @@ def write_lines(df: DataFrame, path: str, column: str, order: str, mode: str = "
 
 
 def write_metrics(metrics: dict, path: str, config: dict | None = None) -> None:
-    """A metric file: flat, or as {metrics, config} where a config is given."""
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump({"metrics": metrics, "config": config} if config is not None else metrics, f, indent=2, ensure_ascii=False)
+    """A metric file on any file system that Spark knows: flat, or as {metrics, config} where a config is given."""
+    text = json.dumps({"metrics": metrics, "config": config} if config is not None else metrics, indent=2, ensure_ascii=False)
+    spark = SparkSession.getActiveSession()
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(place, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
