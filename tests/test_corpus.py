@@ -282,6 +282,14 @@ def test_fields_keep_their_blanks(spark, tmp_path):
     assert [r.t for r in files.read_csv(spark, str(tmp_path / "c"), ["t"]).collect()] == [" а ", '"б", ', "в\nг", "", "\\"]
 
 
+def test_csv_is_split_where_no_record_goes_over_a_line(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('t,u\n"а, ""б""",1\nв,2\n', encoding="utf-8")
+    (tmp_path / "b.csv").write_text('t,u\n"а\nб",1\nв,2\n', encoding="utf-8")
+    assert files.one_line_records(spark, str(tmp_path / "a.csv")) and not files.one_line_records(spark, str(tmp_path / "b.csv"))
+    assert [tuple(r) for r in files.read_csv(spark, str(tmp_path / "a.csv"), ["t", "u"]).collect()] == [('а, "б"', "1"), ("в", "2")]
+    assert [tuple(r) for r in files.read_csv(spark, str(tmp_path / "b.csv"), ["t", "u"]).collect()] == [("а\nб", "1"), ("в", "2")]
+
+
 def test_tables_need_a_shared_folder_on_a_cluster():
     class Context:
         master = "spark://host:7077"

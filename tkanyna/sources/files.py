@@ -30,9 +30,18 @@ def numbered(df: DataFrame, name: str, start: int = 0) -> DataFrame:
     return kept.join(F.broadcast(before), "_p").select((F.col("_m") + F.col("_before")).alias(name), *df.columns)
 
 
+def one_line_records(spark: SparkSession, path: str) -> bool:
+    """Whether every line of CSV files holds an even number of quotes, so that no record goes over a line's end.
+
+    Such files can be split among tasks at any line; others are read a file a task.
+    """
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+
+
 def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """The named columns as strings; an absent column and an empty field give an empty string."""
-    df = spark.read.options(**CSV).option("inferSchema", False).csv(path)
+    df = spark.read.options(**CSV | {"multiLine": not one_line_records(spark, path)}).option("inferSchema", False).csv(path)
     return df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) if c in df.columns else F.lit("").alias(c) for c in columns])
 
 
