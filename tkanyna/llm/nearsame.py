@@ -141,15 +141,12 @@ def bitmaps(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.stack([np.bitwise_or.reduceat(low, starts), np.bitwise_or.reduceat(high, starts)], axis=1)
 
 
-KEYS = "key bigint, id bigint, low bigint, high bigint, n int, side int"
-
-
 def keyed(classes: DataFrame, counts: Broadcast, column: str, total: int, sides: list[str] = []) -> DataFrame:  # noqa: B006
     """A row for each key of each class: key, id, its bitmap (low, high), its size n, and its side.
 
-    sides: two boolean columns; a class has rows with side 1 and 2 where they hold. Without them, side is 0.
+    sides: two boolean columns; a class has rows with side 1 and 2 where they hold. Without them, side is 0. Classes are
+    written once with all their keys, so that keys can be counted before they are moved.
     """
-
     enough = rare_enough(total)
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -161,24 +158,25 @@ def keyed(classes: DataFrame, counts: Broadcast, column: str, total: int, sides:
             flat = coded(sets, known)
             n = np.fromiter(map(len, sets), np.int64, len(sets))
             starts = np.cumsum(n) - n
-            bits = bitmaps(flat, starts)
-            keys, rows = [], []
-            for i, (s, k) in enumerate(zip(starts.tolist(), n.tolist())):
-                found = keys_of(flat[s : s + k], table, total, enough)
-                keys += [code(" ".join([sets[i][j] for j in key])) for key in found]
-                rows += [i] * len(found)
-            rows = np.array(rows, np.int64)
-            frame = pd.DataFrame({"key": np.array(keys, np.uint64).astype(np.int64), "id": batch["id"].to_numpy()[rows], "low": bits[rows, 0].astype(np.int64), "high": bits[rows, 1].astype(np.int64), "n": n[rows].astype(np.int32)})
-            if not sides:
-                yield frame.assign(side=np.int32(0))
-            for side, name in enumerate(sides, 1):
-                yield frame[batch[name].to_numpy(bool)[rows]].assign(side=np.int32(side))
-
-    return classes.select("id", column, *sides).mapInPandas(make, KEYS)
+            bits = bitmaps(flat, starts).view(np.int64)
+            keys = []
+            for ws, s, k in zip(sets, starts.tolist(), n.tolist()):
+                found = [code(" ".join([ws[j] for j in key])) for key in keys_of(flat[s : s + k], table, total, enough)]
+                keys.append(np.array(found, np.uint64).view(np.int64))
+            out = batch[["id", *sides]].assign(low=bits[:, 0], high=bits[:, 1], n=n.astype(np.int32))
+            out["keys"] = keys
+            yield out
+
+    kinds = "".join(f", {c} boolean" for c in sides)
+    made = written(classes.select("id", column, *sides).mapInPandas(make, f"id bigint{kinds}, low bigint, high bigint, n int, keys array<bigint>"))
+    rows = made.select(F.explode("keys").alias("key"), "id", "low", "high", "n", *sides)
+    if not sides:
+        return rows.withColumn("side", F.lit(0))
+    return rows.withColumn("side", F.explode(F.filter(F.array(*[F.when(F.col(c), F.lit(i)) for i, c in enumerate(sides, 1)]), lambda x: x.isNotNull()))).drop(*sides)
 
 
 def cells(keys: DataFrame) -> DataFrame:
-    """The rows of written keys, those of hot keys in the cells of their blocks; a cell of two blocks has sides 1 and 2."""
+    """The rows of keys, those of hot keys in the cells of their blocks; a cell of two blocks has sides 1 and 2."""
     hot = keys.groupBy("key").agg(F.count(F.lit(1)).alias("many")).filter(F.col("many") > BLOCK)
     blocks = F.ceil(F.col("many") / BLOCK).cast("int")
     both = keys.join(hot, "key", "left").withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int"))
@@ -328,7 +326,7 @@ def _search(rows: pd.DataFrame, ordered: bool) -> Iterator[pd.DataFrame]:
 
 
 def tree_candidates(keys: DataFrame, ordered: bool = False) -> DataFrame:
-    """Distinct candidate pairs of classes that share a key and lie within the radius. keys: written rows of `keyed`."""
+    """Distinct candidate pairs of classes that share a key and lie within the radius."""
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: list[pd.DataFrame] = []
@@ -369,10 +367,10 @@ def near_same_classes(df: DataFrame, key: str, text: str) -> tuple[DataFrame, Da
     rows = written(given.mapInPandas(sets, "row bigint, cls binary, words string"))
     classes = written(rows.groupBy("cls").agg(F.min("row").alias("id"), F.first("words").alias("words")))
     counts = word_counts(df.sparkSession, classes, "words")
-    pairs = tree_candidates(written(keyed(classes, counts, "words", classes.count())))
+    pairs = tree_candidates(keyed(classes, counts, "words", classes.count()))
     one = classes.select(F.col("id").alias("a"), F.col("words").alias("words_a"))
     other = classes.select(F.col("id").alias("b"), F.col("words").alias("words_b"))
-    members = rows.select("row", "cls").distinct().join(classes.select("cls", "id"), "cls").select("row", "id")
+    members = written(rows.select("row", "cls").distinct().join(classes.select("cls", "id"), "cls").select("row", "id"))
     return members, pairs.join(one, "a").join(other, "b").filter(shares_enough("words_a", "words_b")).select("a", "b")
 
 

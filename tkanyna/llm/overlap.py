@@ -190,7 +190,7 @@ def _sharded(rows: DataFrame, shards: int) -> Iterator[pd.DataFrame]:
     """The rows of each shard, at most twice SHARD of them, fetched one shard at a time."""
     placed = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
     for shard in range(shards):
-        part = placed.filter(F.col("shard") == shard).drop("shard").limit(2 * SHARD + 1).toPandas()
+        part = placed.filter(F.col("shard") == shard).drop("shard").limit(2 * SHARD + 1).toArrow().to_pandas()
         if len(part) > 2 * SHARD:
             raise RuntimeError(f"a shard has more than {2 * SHARD} records")
         yield part
@@ -232,7 +232,7 @@ def _hits_by_keys(trains: DataFrame, classes: DataFrame) -> DataFrame:
     # an evaluation record is a class of its own beside the training one with the same words
     both = written(classes.select(F.col("id"), "one", "other", F.lit(True).alias("tests"), F.lit(False).alias("trains")).unionByName(copies.select(F.col("train_id").alias("id"), "one", "other", F.lit(False).alias("tests"), F.lit(True).alias("trains"))))
     counts = word_counts(trains.sparkSession, both, "other")
-    pairs = tree_candidates(written(keyed(both, counts, "other", both.count(), ["tests", "trains"])), ordered=True)
+    pairs = tree_candidates(keyed(both, counts, "other", both.count(), ["tests", "trains"]), ordered=True)
     one = both.filter("tests").select(F.col("id").alias("a"), F.col("one").alias("one_a"), F.col("other").alias("other_a"))
     other = both.filter("trains").select(F.col("id").alias("b"), F.col("one").alias("one_b"), F.col("other").alias("other_b"))
     near = pairs.join(one, "a").join(other, "b").filter(shares_enough("other_a", "other_b") & shares_enough("one_a", "one_b")).select(F.col("a").alias("id"), "b")
@@ -293,7 +293,7 @@ def coverage(df: DataFrame, key: str, fields: tuple[str, str], split: str, train
     passages = written(_running(given.filter("tests"), ["row", "field"]))
     distinct = written(passages.select("id", *WORDS).distinct())
     trains = given.filter("not tests")
-    shards, hit = -(-distinct.count() // (10 * SHARD)), None
+    shards, hit = -(-distinct.count() // (4 * SHARD)), None
     if shards > PASSES:
         hit = _running(trains, ["field"]).select("field", "id").distinct()
     else:
@@ -328,4 +328,4 @@ def coverage(df: DataFrame, key: str, fields: tuple[str, str], split: str, train
 def _sharded_passages(distinct: DataFrame, shards: int) -> Iterator[pd.DataFrame]:
     placed = distinct.dropDuplicates(["id"]).withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
     for shard in range(shards):
-        yield placed.filter(F.col("shard") == shard).drop("shard").toPandas()
+        yield placed.filter(F.col("shard") == shard).drop("shard").toArrow().to_pandas()
