@@ -39,6 +39,7 @@ RARE = 4000  # classes that may be expected to have a key, or a SHARE of all, if
 SHARE = 20_000
 DEEP = 4  # words of a key
 BLOCK = 10_000  # classes of one key that one tree holds
+HOT = 100_000  # hot keys that are broadcast
 VISITS = 400_000  # steps of searches that are taken at once
 LONG = 120  # distinct words; a longer text has keys of single words only, so that pairs of its words don't multiply
 
@@ -177,7 +178,9 @@ def keyed(classes: DataFrame, counts: Broadcast, column: str, total: int, sides:
 
 def cells(keys: DataFrame) -> DataFrame:
     """The rows of keys, those of hot keys in the cells of their blocks; a cell of two blocks has sides 1 and 2."""
-    hot = keys.groupBy("key").agg(F.count(F.lit(1)).alias("many")).filter(F.col("many") > BLOCK)
+    hot = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("many")).filter(F.col("many") > BLOCK))
+    if hot.count() <= HOT:  # so that the rows of keys are moved once only
+        hot = F.broadcast(hot)
     blocks = F.ceil(F.col("many") / BLOCK).cast("int")
     both = keys.join(hot, "key", "left").withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int"))
     every = F.sequence(F.lit(0), blocks - 1)
